@@ -172,18 +172,16 @@ _ARROW_HITS = pa.schema(
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The benchmark in blocks of at most block_bytes of text; an item that is longer by itself stands alone."""
-    items = columns(benchmark, item=benchmark[id_col].cast("bigint"), text=text_col).where("text is not null")
+    """The benchmark in blocks of at most block_bytes of text and one item more."""
+    items = columns(benchmark, item=benchmark[id_col].cast("bigint"), text=text_col).where("text is not null").distinct()
     size = F.octet_length("text")
     total, largest = items.agg(F.sum(size), F.max(size)).first()
     n = max(1, -(-(total or 0) // block_bytes))
-    while True:
-        dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-        if n == 1 or dealt.groupBy("block").agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0] <= max(block_bytes, largest):
-            break
+    dealt = lambda: items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    while n > 1 and dealt().groupBy("block").agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0] > block_bytes + largest:
         n *= 2
     for b in range(n):
-        yield [(r[0], r[1].encode()) for r in dealt.where(F.col("block") == b).select("item", "text").toLocalIterator()]
+        yield [(r[0], r[1].encode()) for r in dealt().where(F.col("block") == b).select("item", "text").toLocalIterator()]
 
 
 def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW_WORDS, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
