@@ -458,7 +458,7 @@ def test_cut_documents(spark):
     got = repeats.cut_documents(docs)
     assert got.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {
-        1: (rows[0][1], len(rows[0][1])), 2: ("other  one\n\n\n\ttail", 17), 3: ("", 0), 4: (None, 0), 5: ("", 0),
+        1: (rows[0][1], len(rows[0][1])), 2: ("other  one\n\n\n\ttail", 18), 3: ("", 0), 4: (None, 0), 5: ("", 0),
     }
 
 

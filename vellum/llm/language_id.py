@@ -99,7 +99,8 @@ class Filters:
                     hits[i, full] += np.add.reduceat(bit, cuts[:drop], dtype=np.int64)[::2]
         share = hits / np.maximum(total, 1)
         share = np.maximum(0, (share - self.chance[:, None]) / (1 - self.chance[:, None]))
-        best, whole = share.argmax(axis=0), share.sum(axis=0)
+        whole = share.sum(axis=0)
+        best = share.argmax(axis=0) if self.languages else whole
         names, scores = [], []
         for i, text in enumerate(lines):
             if text is None or not self.languages:
