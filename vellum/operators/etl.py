@@ -64,7 +64,7 @@ def numbered_copies(rows: DataFrame, name: str, *order: str) -> DataFrame:
     suffix."""
     w = Window.partitionBy(name).orderBy(*order)
     k = F.row_number().over(w) - 1
-    return rows.withColumn("target", F.when(k == 0, F.col(name)).otherwise(F.regexp_replace(F.col(name), r"(\.[^.]*)?$", F.concat(F.lit("_dup"), k.cast("string"), F.lit("$1")))))
+    return rows.withColumn("target", F.when(k == 0, F.col(name)).otherwise(F.regexp_replace(F.col(name), F.lit(r"^(.*?)(\.[^./]*)?$"), F.concat(F.lit("$1_dup"), k.cast("string"), F.lit("$2")))))
 
 
 def per_source_skips(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:

@@ -11,32 +11,37 @@ from pyspark.sql import functions as F
 
 from vellum.functions.numeric import by, half_even
 
-PAGE = by("page_id")
-ROWS = PAGE.orderBy("y")
+
+def by_page():
+    return by("page_id")
+
+
+def by_row():
+    return by("page_id").orderBy("y")
 
 
 def minmax(profile: DataFrame, value: str = "hpp", out: str = "norm") -> DataFrame:
     """To [0, 1] by page; a constant profile is all zero."""
-    low, high = F.min(value).over(PAGE), F.max(value).over(PAGE)
+    low, high = F.min(value).over(by_page()), F.max(value).over(by_page())
     return profile.withColumn(out, F.when(high - low > 1e-9, (F.col(value) - low) / (high - low)).otherwise(0.0))
 
 
 def zscore(profile: DataFrame, value: str = "hpp", out: str = "z") -> DataFrame:
     """Mean 0 and population deviation 1 by page; a constant profile is all zero."""
-    mean, std = F.avg(value).over(PAGE), F.stddev_pop(value).over(PAGE)
+    mean, std = F.avg(value).over(by_page()), F.stddev_pop(value).over(by_page())
     return profile.withColumn(out, F.when(std > 1e-9, (F.col(value) - mean) / std).otherwise(0.0))
 
 
 def regions(profile: DataFrame, inside: Column, least: int = 1) -> DataFrame:
     """(page_id, y0, y1): maximal runs of rows where `inside` holds, of `least` rows or more."""
-    runs = profile.where(inside).withColumn("run", F.col("y") - F.row_number().over(ROWS))
+    runs = profile.where(inside).withColumn("run", F.col("y") - F.row_number().over(by_row()))
     found = runs.groupBy("page_id", "run").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
     return found.where(F.col("y1") - F.col("y0") + 1 >= least).drop("run")
 
 
 def merge_regions(found: DataFrame, gap: int) -> DataFrame:
     """Regions whose blank gap to the ones before is `gap` rows or fewer become one."""
-    order = PAGE.orderBy("y0", "y1")
+    order = by_page().orderBy("y0", "y1")
     reach = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     grouped = found.withColumn("new", F.when(F.col("y0") - reach - 1 <= gap, 0).otherwise(1)).withColumn("group", F.sum("new").over(order))
     return grouped.groupBy("page_id", "group").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("group")
@@ -45,7 +50,7 @@ def merge_regions(found: DataFrame, gap: int) -> DataFrame:
 def drop_thin(found: DataFrame, part: float = 3.0) -> DataFrame:
     """Without regions thinner than a part of the page's mean; a page's only region stays."""
     height = F.col("y1") - F.col("y0") + 1
-    sized = found.withColumns({"mean": F.avg(height).over(PAGE), "n": F.count("*").over(PAGE)})
+    sized = found.withColumns({"mean": F.avg(height).over(by_page()), "n": F.count("*").over(by_page())})
     return sized.where((F.col("n") <= 1) | (height >= F.col("mean") / part)).drop("mean", "n")
 
 
@@ -59,7 +64,7 @@ def shrink(found: DataFrame, share: float = 0.5) -> DataFrame:
 
 def seam_starts(found: DataFrame) -> DataFrame:
     """(page_id, seam_id, y): the row midway between a region and the one before."""
-    order = PAGE.orderBy("y0")
+    order = by_page().orderBy("y0")
     between = found.withColumn("before", F.lag("y1").over(order)).where("before is not null")
     return between.select("page_id", F.row_number().over(order).alias("seam_id"), half_even((F.col("y0") + F.col("before")) / 2).alias("y"))
 
@@ -75,7 +80,7 @@ def word_spans(columns: DataFrame, gap: int = 6, least: int = 3) -> DataFrame:
 
 
 def _around(k: int):
-    return ROWS.rowsBetween(-(k // 2), k // 2)
+    return by_row().rowsBetween(-(k // 2), k // 2)
 
 
 def close_open(profile: DataFrame, value: str, k: int, out: str = "smooth") -> DataFrame:
@@ -95,10 +100,10 @@ def plateaus(profile: DataFrame, value: str = "q", rise: int = 13) -> DataFrame:
     """(page_id, y0, y1, level): runs of one level above both neighbours, and above the foot of
     the slope on either side by `rise` or more. Feet are found over the list of runs, which is
     one row per page."""
-    new = F.when(F.col(value) == F.lag(value).over(ROWS), 0).otherwise(1)
-    runs = profile.withColumn("new", new).withColumn("run", F.sum("new").over(ROWS))
+    new = F.when(F.col(value) == F.lag(value).over(by_row()), 0).otherwise(1)
+    runs = profile.withColumn("new", new).withColumn("run", F.sum("new").over(by_row()))
     runs = runs.groupBy("page_id", "run").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.first(value).alias("level"))
-    order = PAGE.orderBy("run")
+    order = by_page().orderBy("run")
     # a foot is the last run before which the level doesn't go on falling
     runs = runs.withColumns({"prev": F.lag("level").over(order), "next": F.lead("level").over(order)})
     left = F.last(F.when(F.col("prev").isNull() | (F.col("prev") > F.col("level")), F.col("level")), True).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -117,7 +122,7 @@ def two_kernels(profile: DataFrame, k1: int, k2: int, value: str = "hpp") -> Dat
         found = plateaus(close_open(base, "q", k, "s"), "s").withColumn("kernel", F.lit(i))
         both = found if both is None else both.unionAll(found)
     counted = both.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "kernel")))
-    best = F.max(F.struct("n", (-F.col("kernel")).alias("k"))).over(PAGE)
+    best = F.max(F.struct("n", (-F.col("kernel")).alias("k"))).over(by_page())
     return counted.withColumn("best", -best["k"]).where("kernel = best").select("page_id", "kernel", "y0", "y1", "level")
 
 

@@ -2,5 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from vellum.plans import evaluation, layout
+from vellum.runtime import ship
+
+
+def _shipped(f):
+    def query(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    query.__doc__ = f.__doc__
+    return query
+
+
+QUERIES: dict = {k: _shipped(f) for k, f in (layout.QUERIES | evaluation.QUERIES).items()}
+ORACLES: dict = layout.ORACLES | evaluation.ORACLES

@@ -49,8 +49,8 @@ def is_valid_yolo(lines: str = "lines") -> Column:
 
 
 def yolo_line(cls: Column, points: Column, width: Column, height: Column) -> Column:
-    """`class x y ...` with shares of the picture to six places, clipped to [0, 1]."""
-    share = lambda v, size: F.format_string("%.6f", F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / size)))
+    """`class x y ...` with shares of the picture to six places, clipped to [0, 1], ties to even."""
+    share = lambda v, size: F.format_string("%.6f", F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v / size)), 6))
     return F.concat_ws(" ", cls.cast("string"), F.array_join(F.transform(points, lambda p: F.concat_ws(" ", share(p["x"], width), share(p["y"], height))), " "))
 
 
