@@ -336,3 +336,41 @@ def test_streams(spark, tmp_path):
     run()
     assert sorted(r.file for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
     assert runs.running(runs.log(spark, log, schema), "at").isStreaming
+
+
+def test_side_noise_is_cut(spark):
+    rows = [(1, i, 10.0, 200.0) for i in range(9)] + [(1, 9, 10.0, 400.0)]
+    boxes = spark.createDataFrame(rows, "page_id bigint, box_id int, x0 double, x1 double")
+    got = {r.box_id: (r.n0, r.n1) for r in geometry.side_noise(boxes).collect()}
+    assert got[0] == (10, 200) and got[9] == (10, 300)
+
+
+def test_local_warp_straightens_a_slope(spark):
+    from vellum.operators import rectify
+
+    t = math.tan(math.radians(5))
+    rows = [(1, round(30 + k * 20 + (x - 60) * t), x) for k in range(3) for x in range(120)]
+    ink = spark.createDataFrame(rows, "page_id bigint, y int, x int")
+    angles = rectify.cell_angles(ink, [float(a) for a in range(-8, 9)], 2, 2, 100, 120)
+    assert {r.angle for r in angles.collect()} == {5.0}
+    moved = rectify.straightened(ink, angles, 2, 2, 100, 120)
+    heights = moved.groupBy("y").count().where("count > 30").count()
+    assert heights <= 6 < ink.select("y").distinct().count()
+    assert moved.join(ink.withColumnsRenamed({"y": "iy", "x": "ix"}), ["page_id", "iy", "ix"], "left_anti").count() == 0
+
+
+def test_running_means_and_anchors(spark):
+    rows = spark.createDataFrame([(1, i, y) for i, y in enumerate((0.0, 2.0, 4.0, 20.0, 21.0))], "page_id bigint, comp_id int, y double")
+    got = [(r.group, r["mean"], r.comp_ids) for r in hough.mean_groups(rows, 3.0).orderBy("group").collect()]
+    assert got == [(0, 2.0, [0, 1, 2]), (1, 20.5, [3, 4])]
+    lines = rows.selectExpr("page_id", "comp_id as line_id", "y as y_mid", "3.0d as most")
+    assert sorted((r.line_id, r.n) for r in hough.anchored_groups(lines, F.col("most")).collect()) == [(0, 2), (2, 1), (3, 2)]
+
+
+def test_small_helpers(spark):
+    cells = spark.createDataFrame([(1, 1, 0, 0), (1, 2, 0, 0), (1, 2, 0, 1)], "page_id bigint, comp_id int, y int, x int")
+    assert components.without_small(cells, 2).count() == 2
+    boxes = spark.createDataFrame([(0.0, 40.0), (0.0, 60.0), (55.0, 90.0)], "x0 double, x1 double")
+    assert geometry.straddling(boxes, F.lit(100.0)).count() == 1
+    one = spark.range(1).select(metrics.f_beta(F.lit(0.5), F.lit(1.0)).alias("f"), metrics.chamfer_score(F.lit(5.0), 5.0).alias("c"), metrics.f_beta(F.lit(0.0), F.lit(0.0)).alias("z")).first()
+    assert math.isclose(one.f, 2 / 3) and one.c == 0.5 and one.z == 0

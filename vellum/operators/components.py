@@ -128,3 +128,24 @@ def otsu(cells: DataFrame, value: str, levels: int = 256) -> DataFrame:
     return between_class_threshold(binned)
 
 
+
+
+def character_height_bins(found: DataFrame, least: int = 4) -> DataFrame:
+    """Heights above `least` in a tenth as many even bins as there are components, without the
+    first bin: the centre of the fullest bin, the first on a tie. Pages of fewer than 10 such
+    components, or of one height, have their mean."""
+    high = found.where(F.col("h") > least)
+    page = by("page_id")
+    sized = high.withColumns({"n": F.count("*").over(page), "a": F.min("h").over(page), "b": F.max("h").over(page), "mean": F.avg("h").over(page)})
+    bins = F.floor(F.col("n") / 10)
+    width = (F.col("b") - F.col("a")) / bins
+    number = F.least(bins - 1, F.floor((F.col("h") - F.col("a")) / width)).cast("int")
+    even = (bins >= 2) & (F.col("b") > F.col("a"))
+    counted = sized.where(even).withColumns({"k": number, "w": width}).where("k > 0").groupBy("page_id", "k", "a", "w").agg(F.count("*").alias("c"))
+    best = counted.groupBy("page_id").agg(F.max_by(F.col("a") + (F.col("k") + 0.5) * F.col("w"), F.struct(F.col("c"), -F.col("k"))).alias("ah"))
+    return sized.groupBy("page_id").agg(F.first("mean").alias("mean")).join(best, "page_id", "left").select("page_id", F.coalesce("ah", "mean").alias("ah"))
+
+
+def without_small(cells: DataFrame, least: int) -> DataFrame:
+    """cells(page_id, comp_id, ...) of components of `least` cells or more."""
+    return cells.withColumn("__n", F.count("*").over(by("page_id", "comp_id"))).where(F.col("__n") >= least).drop("__n")

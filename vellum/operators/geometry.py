@@ -206,3 +206,63 @@ def polygon_iou(a: np.ndarray, b: np.ndarray) -> float:
     inter = abs(_signed(clip(a, b)))
     union = abs(_signed(a)) + abs(_signed(b)) - inter
     return inter / union if union > 0 else 0.0
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """points(page_id, y, x), polygons(page_id, class_id, points): the class of each point, the
+    greatest where polygons overlap; points in none are dropped. A page's polygons come to its
+    points as one list, and the box is tested before the edges are counted."""
+    xs, ys = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
+    boxed = polygons.select("page_id", F.struct("class_id", "points", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1")).alias("p"))
+    lists = boxed.groupBy("page_id").agg(F.collect_list("p").alias("ps"))
+
+    def inside(p):
+        following = F.concat(F.slice(p["points"], 2, F.size(p["points"])), F.slice(p["points"], 1, 1))
+        crossed = F.zip_with(
+            p["points"], following,
+            lambda a, b: ((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & (F.col("x") < (b["x"] - a["x"]) * (F.col("y") - a["y"]) / (b["y"] - a["y"]) + a["x"]),
+        )
+        near = F.col("x").between(p["x0"], p["x1"]) & F.col("y").between(p["y0"], p["y1"])
+        return near & (F.size(F.filter(crossed, lambda c: c)) % 2 == 1)
+
+    found = F.array_max(F.transform(F.filter("ps", inside), lambda p: p["class_id"]))
+    return points.join(lists, "page_id").withColumn("class_id", found).where("class_id is not null").drop("ps")
+
+
+def crop_to_mass(boxes: DataFrame, least: float = 2.0) -> DataFrame:
+    """boxes(page_id, box_id, y0, y1, mass): the mass centre comes to mid-height, the half height
+    is its distance to the nearer side; under `least` rows the old box stays."""
+    half = F.least(F.col("mass") - F.col("y0"), F.col("y1") - F.col("mass"))
+    cut = 2 * half >= least
+    return boxes.withColumns({"n0": F.when(cut, F.col("mass") - half).otherwise(F.col("y0")), "n1": F.when(cut, F.col("mass") + half).otherwise(F.col("y1"))})
+
+
+def top_by_share(ink: DataFrame, share: float, *keys: str) -> DataFrame:
+    """Boxes whose top edge leaves out the highest cells beyond `share` of all."""
+    return ink.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.percentile("y", F.lit(1 - share)).alias("y0"), F.max("y").cast("double").alias("y1"), F.count("*").alias("n"))
+
+
+def side_noise(boxes: DataFrame, low: float = 0.05, high: float = 0.35) -> DataFrame:
+    """boxes(page_id, box_id, x0, x1, ...): the cut at a page's side, if text of a neighbour page
+    shows there. Midpoints of left and right sides form two clusters each; a small one of a share
+    from low to high, farther off than the mean deviation, is cut off at the mid of the centres.
+    Returns the boxes with n0, n1, emptied ones dropped."""
+    out = boxes.withColumns({"n0": F.col("x0"), "n1": F.col("x1")})
+    for side, name in (("x0", "n0"), ("x1", "n1")):
+        means = two_means(boxes, side, "page_id")
+        near = F.least(F.abs(F.col(side) - F.col("low")), F.abs(F.col(side) - F.col("high")))
+        spread = boxes.join(means, "page_id").groupBy("page_id").agg(F.avg(near).alias("spread"))
+        n = F.col("n_low") + F.col("n_high")
+        small = F.least("n_low", "n_high") / n
+        found = means.join(spread, "page_id").where((small >= low) & (small <= high) & (F.col("high") - F.col("low") > F.col("spread")))
+        cut = found.select("page_id", ((F.col("low") + F.col("high")) / 2).alias("cut"), (F.col("n_low") < F.col("n_high")).alias("left"))
+        out = out.join(cut, "page_id", "left")
+        out = out.withColumns({
+            "n0": F.when(F.col("left"), F.greatest("n0", "cut")).otherwise(F.col("n0")), "n1": F.when(~F.col("left"), F.least("n1", "cut")).otherwise(F.col("n1")),
+        }).drop("cut", "left")
+    return out.where(F.col("n1") - F.col("n0") >= 3)
+
+
+def straddling(boxes: DataFrame, width: Column) -> DataFrame:
+    """Boxes that reach over the middle of the picture."""
+    return boxes.where((F.col("x0") < width / 2) & (F.col("x1") >= width / 2))

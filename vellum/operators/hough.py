@@ -115,3 +115,36 @@ def chain_groups(rows: DataFrame, value: str, most: float, *keys: str) -> DataFr
     order = Window.partitionBy(*keys).orderBy(value)
     new = F.when(F.col(value) - F.lag(value).over(order) <= most, 0).otherwise(1)
     return rows.withColumn("new", new).withColumn("group", F.sum("new").over(order)).drop("new")
+
+
+def anchored_groups(lines: DataFrame, most: Column) -> DataFrame:
+    """lines(page_id, line_id, y_mid): a line nearer than `most` (a column by page) to the first
+    line of the current group joins it; else it opens a group. Later lines are compared with the
+    group's first line, not the one before, so this is a fold over the page's sorted lines."""
+    lists = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("y_mid", "line_id"))).alias("ls"), F.first(most).alias("most"))
+    empty = F.array().cast("array<struct<line_id:bigint,first:double,n:int>>")
+
+    def step(done, line):
+        last = F.try_element_at(done, F.lit(-1))
+        joins = (F.size(done) > 0) & (line["y_mid"] - last["first"] < F.col("most"))
+        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["line_id"].alias("line_id"), last["first"].alias("first"), (last["n"] + 1).alias("n"))))
+        opened = F.concat(done, F.array(F.struct(line["line_id"].cast("bigint").alias("line_id"), line["y_mid"].cast("double").alias("first"), F.lit(1).alias("n"))))
+        return F.when(joins, grown).otherwise(opened)
+
+    return lists.select("page_id", F.inline(F.aggregate("ls", empty, step)))
+
+
+def mean_groups(rows: DataFrame, most: float) -> DataFrame:
+    """rows(page_id, comp_id, y): in order of y, a row within `most` of the running mean of the
+    current group joins it. (page_id, group, mean, comp_ids)."""
+    lists = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("comp_id").cast("bigint").alias("comp_id")))).alias("rs"))
+    empty = F.array().cast("array<struct<total:double,comp_ids:array<bigint>>>")
+
+    def step(done, r):
+        last = F.try_element_at(done, F.lit(-1))
+        joins = (F.size(done) > 0) & (F.abs(r["y"] - last["total"] / F.size(last["comp_ids"])) <= most)
+        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct((last["total"] + r["y"]).alias("total"), F.concat(last["comp_ids"], F.array(r["comp_id"])).alias("comp_ids"))))
+        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.struct(r["y"].alias("total"), F.array(r["comp_id"]).alias("comp_ids")))))
+
+    found = lists.select("page_id", F.posexplode(F.aggregate("rs", empty, step)).alias("group", "g"))
+    return found.select("page_id", "group", (F.col("g.total") / F.size("g.comp_ids")).alias("mean"), F.col("g.comp_ids").alias("comp_ids"))

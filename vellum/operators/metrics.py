@@ -98,3 +98,29 @@ def improvements(before: DataFrame, after: DataFrame, errors: list[str], *keys:
     return both.select(*keys, "metric", F.when(F.col("metric").isin(errors), F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b")).alias("gain"))
 
 
+
+
+def chamfer(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """a, b(page_id, y, x): mean distance of each point to the nearest of the other side, both
+    ways averaged. Points meet in grid squares of side `reach`; a point with none nearer than that
+    counts as `reach`."""
+    square = lambda c: F.floor(F.col(c) / reach)
+    around = F.explode(F.array(*[F.struct((square("y") + i).alias("gy"), (square("x") + j).alias("gx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    def one_way(p, q):
+        mine = p.select("page_id", "y", "x", around.alias("g")).select("page_id", "y", "x", "g.gy", "g.gx")
+        theirs = q.select("page_id", square("y").alias("gy"), square("x").alias("gx"), F.col("y").alias("v"), F.col("x").alias("u"))
+        d = F.sqrt((F.col("y") - F.col("v")) * (F.col("y") - F.col("v")) + (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")))
+        near = mine.join(theirs, ["page_id", "gy", "gx"], "left").groupBy("page_id", "y", "x").agg(F.least(F.lit(float(reach)), F.coalesce(F.min(d), F.lit(float(reach)))).alias("d"))
+        return near.groupBy("page_id").agg(F.avg("d").alias("d"))
+
+    there, back = one_way(a, b).withColumnRenamed("d", "there"), one_way(b, a).withColumnRenamed("d", "back")
+    return there.join(back, "page_id", "full").select("page_id", ((F.coalesce("there", F.lit(float(reach))) + F.coalesce("back", F.lit(float(reach)))) / 2).alias("chamfer"))
+
+
+def chamfer_score(distance: Column, diagonal: float) -> Column:
+    return 1 / (1 + distance / diagonal)
+
+
+def f_beta(p: Column, r: Column, beta: float = 1.0) -> Column:
+    return F.when(p + r > 0, (1 + beta * beta) * p * r / (beta * beta * p + r)).otherwise(0.0)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import components, geometry, hough, profile, seams, synthesis
+from vellum.operators import components, geometry, hough, metrics, profile, rectify, seams, synthesis
 from vellum.plans.sql import BOX, PAGE_LINE, TILE, WORD, ZREGION
 from vellum.runtime import table
 from vellum.sources import views
@@ -475,6 +475,140 @@ def vertical_warp(vecs):
     return geometry.warp(ink(vecs), geometry.displacement("sine", F.col("x"), 8.0, 2.0), 8).select("page_id", "y", "x")
 
 
+# --- polygons, crops, distances
+
+
+@query(
+    f"""WITH {TILE}, p AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0)
+SELECT page_id, y, x, CAST(CASE WHEN y > 1.5 AND y < 6.5 AND x > 2.5 AND x < 7.5 THEN 2 ELSE 1 END AS INTEGER) AS class_id FROM p WHERE (y > 1.5 AND y < 6.5 AND x > 2.5 AND x < 7.5) OR (x > 0.5 AND y > 0.5 AND x + y < 6.25)""",
+    "embeddings",
+)
+def polygon_classes(vecs):
+    """A triangle and, over it, a rectangle; where they overlap the rectangle counts."""
+    corners = lambda *ps: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ps])
+    shapes = F.array(F.struct(F.lit(1).alias("class_id"), corners((0.5, 0.5), (5.75, 0.5), (0.5, 5.75)).alias("points")), F.struct(F.lit(2).alias("class_id"), corners((2.5, 1.5), (7.5, 1.5), (7.5, 6.5), (2.5, 6.5)).alias("points")))
+    return geometry.in_polygons(ink(vecs), vecs.select(F.col("vec_id").alias("page_id"), F.inline(shapes)))
+
+
+@query(
+    f"""WITH {ZREGION}, b AS (SELECT r.page_id, r.y0 AS box_id, CAST(r.y0 AS DOUBLE) AS y0, CAST(r.y1 + 1 AS DOUBLE) AS y1, sum(p.hpp * (p.y + 0.5)) / sum(p.hpp) AS mass FROM reg r JOIN prof p ON p.page_id = r.page_id AND p.y BETWEEN r.y0 AND r.y1 GROUP BY 1, 2, 3, 4), h AS (SELECT *, least(mass - y0, y1 - mass) AS h FROM b)
+SELECT page_id, box_id, round(CASE WHEN 2 * h >= 2 THEN mass - h ELSE y0 END, 6) AS n0, round(CASE WHEN 2 * h >= 2 THEN mass + h ELSE y1 END, 6) AS n1 FROM h"""
+)
+def center_mass_crop(docs):
+    rows = lines(docs).join(z_regions(docs), "page_id").where("y between y0 and y1")
+    boxes = rows.groupBy("page_id", "y0", "y1").agg((F.sum(F.col("hpp") * (F.col("y") + 0.5)) / F.sum("hpp")).alias("mass"))
+    boxes = boxes.select("page_id", F.col("y0").alias("box_id"), F.col("y0").cast("double").alias("y0"), (F.col("y1") + 1).cast("double").alias("y1"), "mass")
+    return geometry.crop_to_mass(boxes).select("page_id", "box_id", F.round("n0", 6).alias("n0"), F.round("n1", 6).alias("n1"))
+
+
+@query(f"WITH {_CLASS} SELECT page_id, class_id, min(x) AS x0, max(x) AS x1, round(quantile_cont(y, 0.1), 6) AS y0, CAST(max(y) AS DOUBLE) AS y1, count(*) AS n FROM cl GROUP BY 1, 2", "embeddings")
+def top_share_boxes(vecs):
+    found = geometry.top_by_share(seams.classes(ink(vecs), _flat_seams(vecs)), 0.9, "page_id", "class_id")
+    return found.withColumn("y0", F.round("y0", 6))
+
+
+@query()
+def side_noise_cut(docs):
+    """No SQL twin: two-means by page and side. Tested on a drawn page."""
+    return geometry.side_noise(views.line_boxes(docs)).groupBy("page_id").agg(F.count("*").alias("n"), F.min("n0").alias("left"), F.max("n1").alias("right"))
+
+
+@query(
+    f"""WITH {TILE}, a AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0), b AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0.1),
+t AS (SELECT a.page_id, a.y, a.x, least(3, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)))) AS d FROM a JOIN b USING (page_id) GROUP BY 1, 2, 3), u AS (SELECT b.page_id, b.y, b.x, least(3, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)))) AS d FROM b JOIN a USING (page_id) GROUP BY 1, 2, 3),
+p AS (SELECT DISTINCT page_id FROM a), m AS (SELECT page_id, avg(d) AS d FROM t GROUP BY 1), n AS (SELECT page_id, avg(d) AS d FROM u GROUP BY 1)
+SELECT page_id, round((coalesce(m.d, 3) + coalesce(n.d, 3)) / 2, 6) AS chamfer FROM p LEFT JOIN m USING (page_id) LEFT JOIN n USING (page_id)""",
+    "embeddings",
+)
+def chamfer_distance(vecs):
+    two = [views.tiles(vecs).where(F.col("v") > low).select(F.col("tile_id").alias("page_id"), "y", "x") for low in (0.0, 0.1)]
+    return metrics.chamfer(*two, 3.0).select("page_id", F.round("chamfer", 6).alias("chamfer"))
+
+
+# --- rectification
+
+
+_CELL = f"{TILE}, ce AS (SELECT tile_id AS page_id, y, x, CAST(y >= 4 AS INTEGER) AS gy, CAST(x >= 4 AS INTEGER) AS gx FROM tile WHERE v > 0)"
+
+_CELL_ANGLE = f"""{_CELL}, an AS (SELECT CAST(unnest(generate_series(-30, 30, 10)) AS DOUBLE) AS angle), cr AS (SELECT page_id, gy, gx, angle, round_even(y - x * tan(radians(angle)), 0) AS r, count(*) AS n FROM ce, an GROUP BY 1, 2, 3, 4, 5),
+cs AS (SELECT page_id, gy, gx, angle, round(sum(n * n) / 4 - pow(sum(n) / 4, 2), 9) AS var, sum(n) AS ink FROM cr GROUP BY 1, 2, 3, 4),
+ca AS (SELECT page_id, gy, gx, CASE WHEN max(ink) < 4 THEN 0 ELSE greatest(-20, least(20, arg_min(angle, (-var, abs(angle), angle)))) END AS angle FROM cs GROUP BY 1, 2, 3)"""
+
+
+def _cell_angles(vecs):
+    return rectify.cell_angles(ink(vecs), [float(a) for a in range(-30, 31, 10)], 2, 2, 8, 8, least=4, most=20.0)
+
+
+@query(f"WITH {_CELL_ANGLE} SELECT page_id, gy, gx, CAST(angle AS DOUBLE) AS angle FROM ca", "embeddings")
+def grid_cell_angles(vecs):
+    return _cell_angles(vecs)
+
+
+@query(f"WITH {_CELL_ANGLE} SELECT page_id, CAST(round_even(y - (x - gx * 4) * CASE WHEN abs(angle) <= 0.25 THEN 0 ELSE tan(radians(angle)) END, 0) AS INTEGER) AS y, count(*) AS hpp FROM ce JOIN ca USING (page_id, gy, gx) GROUP BY 1, 2", "embeddings")
+def slanted_hpp(vecs):
+    return rectify.slanted_profile(ink(vecs), _cell_angles(vecs), 2, 2, 8, 8)
+
+
+@query(None, "embeddings")
+def local_warp(vecs):
+    """No SQL twin: cubic resampling and a running sum by row. Tested on sheared lines."""
+    moved = rectify.straightened(ink(vecs), _cell_angles(vecs), 2, 2, 8, 8)
+    return moved.groupBy("page_id", "y").agg(F.count("*").alias("hpp"))
+
+
+@query(
+    f"""WITH {TILE}, g AS (SELECT tile_id AS page_id, y, x, CAST(least(255, greatest(0, round_even(128 + 400 * v, 0))) AS INTEGER) AS v, y // 4 AS ty, x // 4 AS tx FROM tile), n AS (SELECT page_id, ty, tx, v, count(*) AS n FROM g GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, least(n, 1.0) AS kept FROM n), c AS (SELECT *, sum(kept) OVER (PARTITION BY page_id, ty, tx ORDER BY v) + sum(n - kept) OVER (PARTITION BY page_id, ty, tx) * (v + 1) / 256 AS below, sum(n) OVER (PARTITION BY page_id, ty, tx) AS total FROM k),
+e AS (SELECT page_id, ty, tx, v, round_even(255 * least(1, below / total), 0) AS e FROM c)
+SELECT page_id, y, x, CAST(round_even(255 * pow(e.e / 255, 0.8), 0) AS INTEGER) AS v FROM g JOIN e USING (page_id, ty, tx, v)""",
+    "embeddings",
+)
+def contrast_by_tile(vecs):
+    grey = as_pages(vecs).withColumn("v", F.least(F.lit(255), F.greatest(F.lit(0), F.rint(128 + 400 * F.col("v")))).cast("int"))
+    return rectify.equalised(grey, clip=2.0, tiles=2, gamma=0.8, height=8, width=8)
+
+
+@query(
+    f"""WITH {TILE}, i AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0), p AS (SELECT 0 AS angle, page_id, y AS k, count(*) AS n FROM i GROUP BY 2, 3 UNION ALL SELECT 90, page_id, x, count(*) FROM i GROUP BY 2, 3),
+q AS (SELECT *, CASE WHEN lag(k) OVER w = k - 1 THEN lag(n) OVER w ELSE 0 END AS a, CASE WHEN lead(k) OVER w = k + 1 THEN lead(n) OVER w ELSE 0 END AS b, max(n) OVER (PARTITION BY angle, page_id) AS m FROM p WINDOW w AS (PARTITION BY angle, page_id ORDER BY k)),
+c AS (SELECT page_id, angle, count(*) FILTER (n - greatest(a, b) >= 0.1 * m) AS peaks FROM q GROUP BY 1, 2)
+SELECT page_id, CAST(arg_min(angle, (-peaks, angle)) AS INTEGER) AS angle FROM c GROUP BY 1""",
+    "embeddings",
+)
+def best_orientation(vecs):
+    return rectify.orientation(ink(vecs))
+
+
+# --- folds over a page's lines
+
+
+@query(
+    f"""WITH RECURSIVE {_YMID}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y_mid, line_id) AS k FROM ln),
+f AS (SELECT page_id, k, line_id AS anchor, y_mid AS first FROM o WHERE k = 1 UNION ALL SELECT o.page_id, o.k, CASE WHEN o.y_mid - f.first < 6 THEN f.anchor ELSE o.line_id END, CASE WHEN o.y_mid - f.first < 6 THEN f.first ELSE o.y_mid END FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1)
+SELECT page_id, CAST(anchor AS BIGINT) AS line_id, any_value(first) AS first, CAST(count(*) AS INTEGER) AS n FROM f GROUP BY page_id, anchor"""
+)
+def anchored_merge(docs):
+    return hough.anchored_groups(_mids(docs).withColumn("most", F.lit(6.0)), F.col("most"))
+
+
+@query()
+def running_mean_groups(docs):
+    """No SQL twin: each row is compared with the mean of its group so far. Tested by hand."""
+    rows = z_regions(docs).select("page_id", F.col("y0").alias("comp_id"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return hough.mean_groups(rows, 3.0).select("page_id", "group", F.round("mean", 6).alias("mean"), F.size("comp_ids").alias("n"))
+
+
+@query(
+    f"""WITH {WORD}, h AS (SELECT page_id, w AS h, count(*) OVER p AS n, min(w) OVER p AS a, max(w) OVER p AS b, avg(w) OVER p AS mean FROM word WHERE w > 4 WINDOW p AS (PARTITION BY page_id)),
+k AS (SELECT *, floor(n / 10) AS bins, (b - a) / floor(n / 10) AS w FROM h WHERE n >= 20 AND b > a), c AS (SELECT page_id, least(bins - 1, floor((h - a) / w)) AS k, a, w, count(*) AS c FROM k GROUP BY ALL),
+m AS (SELECT page_id, arg_min(a + (k + 0.5) * w, (-c, k)) AS ah FROM c WHERE k > 0 GROUP BY 1)
+SELECT page_id, round(coalesce(any_value(m.ah), any_value(h.mean)), 6) AS ah FROM h LEFT JOIN m USING (page_id) GROUP BY 1"""
+)
+def ah_histogram(docs):
+    found = components.character_height_bins(words(docs).select("page_id", F.col("w").alias("h")))
+    return found.select("page_id", F.round("ah", 6).alias("ah"))
+
+
 def synthetic_distortion(spark, sf_dir: str) -> DataFrame:
     """Generated pages, distorted and straightened again: the share of ink that comes back, by
     kind. No table is read and no SQL twin exists."""
