@@ -8,10 +8,10 @@ prefix that is left. That heuristic is exact, so segmentations leave the queue b
 nothing off the n best paths is expanded to its end.
 
 No piece has a space mark after another character, and no piece has a line feed in it. So the
-lattice falls apart at the start of every run of spaces and at line feeds: units. A unit's n best
-are found once and remembered (up to a fixed number of units). The best of a text are the sums
-over its units; for the n best, the n-1 units with the smallest step down are enough, and the
-same search runs over their ranked lists.
+lattice falls apart at the start of every run of spaces and at line feeds: units. A unit's best
+are found once and remembered (up to a fixed number of units), as the best one and the step down
+to the next. A text's best is the sum over its units; for the n best, the n-1 units with the
+smallest steps are enough, and the same search runs over their ranked lists.
 
 Text is encoded with one space put before it, spaces as the mark. The mark itself in a text is
 encoded as bytes, so decoding gives the same text for every text.
@@ -27,6 +27,7 @@ import hashlib
 import heapq
 import re
 from bisect import insort
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,11 @@ MARK = "▁"
 #: What a character without a piece costs beyond the worst piece.
 UNKNOWN = 10.0
 TEXT_BYTES = 2 << 20
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 REMEMBERED_CHARS = 40
 _UNIT = re.compile(" *[^ \n]+| +|\n")
+NOTHING = float("-inf")
+_SCORE, _IDS, _STEP = map(itemgetter, range(3))
 
 
 class Lattice:
@@ -68,26 +71,42 @@ class Lattice:
             raise ValueError("units need a model with byte pieces and without pieces that go on after a space")
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN
-        self.known: dict[str, list] = {}
+        #: Every piece as (ids, score), and every other start of a piece as (b"", 0).
+        self.nodes = {p[:i]: (b"", 0.0) for p in self.pieces for i in range(1, len(p))} | self.pieces
+        self.known: dict[str, tuple] = {}
 
     def lattice(self, unit: str) -> tuple[list[float], list[list[tuple]]]:
         """The forward pass: the best score of each prefix, and the edges into each place as
         (best score up to the edge's end through it, start, own score, ids), longest piece first."""
-        n, get, longest = len(unit), self.pieces.get, self.longest
-        best = [0.0] * (n + 1)
-        into: list[list[tuple]] = [[]]
-        for end in range(1, n + 1):
-            here = []
-            for start in range(end - longest if end > longest else 0, end):
-                if got := get(unit[start:end]):
-                    here.append((best[start] + got[1], start, got[1], got[0]))
-            if not here or here[-1][1] != end - 1:
-                ids = b"".join(self.bytes[b] for b in unit[end - 1].encode("utf-8", "replace"))
-                here.append((best[end - 1] + self.unknown, end - 1, self.unknown, ids))
-            best[end] = max(here)[0]
-            into.append(here)
+        n, get = len(unit), self.nodes.get
+        best = [NOTHING] * (n + 1)
+        best[0] = 0.0
+        into: list[list[tuple]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            here = best[start]
+            for end in range(start + 1, n + 1):
+                got = get(unit[start:end])
+                if got is None:
+                    if end == start + 1:
+                        self._unknown(unit, start, here, best, into)
+                    break
+                ids, score = got
+                if ids:
+                    through = here + score
+                    into[end].append((through, start, score, ids))
+                    if through > best[end]:
+                        best[end] = through
+                elif end == start + 1:
+                    self._unknown(unit, start, here, best, into)
         return best, into
 
+    def _unknown(self, unit: str, start: int, here: float, best: list, into: list) -> None:
+        """The edge of a character that is no piece."""
+        ids = b"".join(self.bytes[b] for b in unit[start].encode("utf-8", "replace"))
+        through = here + self.unknown
+        into[start + 1].append((through, start, self.unknown, ids))
+        best[start + 1] = max(best[start + 1], through)
+
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations as (score, 32-bit ids), best first.
 
@@ -120,10 +139,12 @@ class Lattice:
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(" " + text) if text else []
 
-    def remembered(self, unit: str, n: int) -> list:
+    def remembered(self, unit: str) -> tuple[float, bytes, float]:
+        """Score and ids of a unit's best segmentation, and the step down to the next one."""
         got = self.known.get(unit)
         if got is None:
-            got = self.n_best(unit, n)
+            found = self.n_best(unit, 2)
+            got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             if len(unit) <= REMEMBERED_CHARS:
@@ -132,31 +153,35 @@ class Lattice:
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of the whole text as (score, 32-bit ids), best first."""
-        lists = []
-        known = self.known.get
-        for unit in self.units(text):
-            lists.append(known(unit) or self.remembered(unit, n))
-        first = b"".join([x[0][1] for x in lists])
-        total = sum([x[0][0] for x in lists])
-        steps = [(x[0][0] - x[1][0], i) for i, x in enumerate(lists) if len(x) > 1]
-        found = [(total, first)]
-        if n == 1 or not steps:
+        units = self.units(text)
+        firsts = list(map(self.known.get, units))
+        if None in firsts:
+            firsts = [x or self.remembered(u) for x, u in zip(firsts, units)]
+        ids = list(map(_IDS, firsts))
+        found = [(sum(map(_SCORE, firsts)), b"".join(ids))]
+        if n == 1 or not units:
             return found
-        # a choice is the ranks taken in the units with the smallest steps
-        open_units = [i for _, i in heapq.nsmallest(n - 1, steps)]
-        queue, seen = [(0.0, (0,) * len(open_units))], set()
+        # the units with the smallest steps down, and their ranked segmentations
+        steps, chosen = np.fromiter(map(_STEP, firsts), float, len(firsts)), []
+        while len(chosen) < n - 1 and steps[i := int(steps.argmin())] < -NOTHING:
+            chosen.append(i)
+            steps[i] = -NOTHING
+        lists = [self.n_best(units[i], n) for i in chosen]
+        # the same search over the ranks taken in these units
+        queue, seen = [(0.0, (0,) * len(chosen))], set()
         while queue and len(found) < n:
             loss, ranks = heapq.heappop(queue)
             if ranks in seen:
                 continue
             seen.add(ranks)
             if any(ranks):
-                chosen = dict(zip(open_units, ranks))
-                found.append((total - loss, b"".join([x[chosen.get(i, 0)][1] for i, x in enumerate(lists)])))
-            for k, i in enumerate(open_units):
-                if ranks[k] + 1 < len(lists[i]):
-                    more = lists[i][ranks[k]][0] - lists[i][ranks[k] + 1][0]
-                    heapq.heappush(queue, (loss + more, (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])))
+                other = ids.copy()
+                for i, rank, ranked in zip(chosen, ranks, lists):
+                    other[i] = ranked[rank][1]
+                found.append((found[0][0] - loss, b"".join(other)))
+            for k, ranked in enumerate(lists):
+                if ranks[k] + 1 < len(ranked):
+                    heapq.heappush(queue, (loss + ranked[ranks[k]][0] - ranked[ranks[k] + 1][0], (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])))
         return found
 
     def decode(self, ids: bytes) -> str:
