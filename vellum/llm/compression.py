@@ -26,7 +26,7 @@ from vellum import runtime
 from vellum.llm.common import columns, in_pieces, utf8
 
 #: (bytes from, least ratio, greatest ratio)
-BANDS = ((256, 1.05, 4.0), (512, 1.15, 4.0), (1024, 1.3, 4.0), (4096, 1.5, 4.5), (16384, 1.6, 5.0), (65536, 1.7, 6.0))
+BANDS = ((256, 1.15, 2.2), (512, 1.3, 2.5), (1024, 1.4, 2.8), (4096, 1.5, 3.2), (16384, 1.6, 3.6), (65536, 1.7, 4.2))
 CHUNK_BYTES = 2048
 CHUNK_SHARE = 0.34
 LEVEL = 3
