@@ -7,7 +7,7 @@ of 64 numbers as 8 rows of 8 values, ink where the value is above zero.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 8
@@ -26,12 +26,13 @@ def page_ink(documents: DataFrame) -> DataFrame:
 
 
 def page_words(documents: DataFrame) -> DataFrame:
-    """(page_id, y, comp_id, x, w, h, area): the words of a line as components one row high;
-    comp_id counts them from the left. x comes from the lengths of the words before."""
-    words = page_lines(documents).select("page_id", "y", F.split("line", " ", -1).alias("parts"))
-    start = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, q: n + F.length(q) + 1))
-    placed = words.select("page_id", "y", F.explode(F.filter(F.arrays_zip("parts", start.alias("at")), lambda p: F.length(p["parts"]) > 0)).alias("p"), F.lit(1).alias("h"))
-    return placed.select("page_id", "y", F.col("p.at").alias("x"), F.length("p.parts").alias("w"), "h", F.length("p.parts").alias("area"))
+    """(page_id, y, x, w, h, area): the words of a line as components one row high. x is a running
+    sum of the lengths before, by a window: linear in the words of a line, however long it is."""
+    parts = page_lines(documents).select("page_id", "y", F.posexplode(F.split("line", " ", -1)).alias("i", "word"))
+    before = Window.partitionBy("page_id", "y").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("word")
+    placed = parts.withColumn("x", F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("int"))
+    return placed.where(size > 0).select("page_id", "y", "x", size.alias("w"), F.lit(1).alias("h"), size.alias("area"))
 
 
 def tiles(embeddings: DataFrame) -> DataFrame:
