@@ -374,3 +374,20 @@ def test_small_helpers(spark):
     assert geometry.straddling(boxes, F.lit(100.0)).count() == 1
     one = spark.range(1).select(metrics.f_beta(F.lit(0.5), F.lit(1.0)).alias("f"), metrics.chamfer_score(F.lit(5.0), 5.0).alias("c"), metrics.f_beta(F.lit(0.0), F.lit(0.0)).alias("z")).first()
     assert math.isclose(one.f, 2 / 3) and one.c == 0.5 and one.z == 0
+
+
+def test_detectors_find_generated_lines(spark):
+    from vellum.operators import detectors
+
+    made = synthesis.pages(spark, 6, width=160, height=200, lines=(5, 9)).cache()
+    ink = made.select("page_id", "y", "x").distinct()
+    targets = made.groupBy("page_id", F.col("line_id").cast("bigint").alias("box_id")).agg(
+        F.min("x").cast("double").alias("x0"), F.min("y").cast("double").alias("y0"), (F.max("x") + 1).cast("double").alias("x1"), (F.max("y") + 1).cast("double").alias("y1")
+    )
+    for boxes in (detectors.by_profile(ink, 200, 160), detectors.by_two_kernels(ink, 200, 160, 5, 3, tall=9.0)):
+        r = detectors.evaluated(boxes, targets).first()
+        assert r.hmean > 0.9, r
+    r = detectors.evaluated(detectors.by_hough(ink, 200, 160, fraction=0.3, radius=3), targets).first()
+    assert r.recall > 0.5, r
+    assert detectors.evaluated(targets.limit(0), targets).first().recall == 0
+    assert detectors.deskewed(ink, 200, 160).count() > 0

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import components, geometry, hough, metrics, profile, rectify, seams, synthesis
+from vellum.operators import components, detectors, geometry, hough, metrics, profile, rectify, seams, synthesis
 from vellum.plans.sql import BOX, PAGE_LINE, TILE, WORD, ZREGION
 from vellum.runtime import table
 from vellum.sources import views
@@ -609,6 +609,31 @@ def ah_histogram(docs):
     return found.select("page_id", F.round("ah", 6).alias("ah"))
 
 
+@query(None, "embeddings")
+def detect_tile_lines(vecs):
+    """No SQL twin: profile, regions, traced seams, classes and boxes of every tile. Tested on
+    generated pages."""
+    return detectors.by_profile(ink(vecs), 8, 8)
+
+
+def detector_scores(spark, sf_dir: str) -> DataFrame:
+    """Generated pages through the three detectors: micro-averaged figures by detector. No table
+    is read and no SQL twin exists."""
+    made = synthesis.pages(spark, 12, width=160, height=200, lines=(5, 9))
+    cells = made.select("page_id", "y", "x").distinct()
+    box = lambda c, plus: (c + plus).cast("double")
+    targets = made.groupBy("page_id", F.col("line_id").cast("bigint").alias("box_id")).agg(box(F.min("x"), 0).alias("x0"), box(F.min("y"), 0).alias("y0"), box(F.max("x"), 1).alias("x1"), box(F.max("y"), 1).alias("y1"))
+    found = {
+        "profile": detectors.by_profile(cells, 200, 160), "two kernels": detectors.by_two_kernels(cells, 200, 160, 5, 3, tall=9.0),
+        "hough": detectors.by_hough(cells, 200, 160, fraction=0.3, radius=3),
+    }
+    rows = [detectors.evaluated(b, targets).select(F.lit(k).alias("detector"), "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "hmean")]) for k, b in found.items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+QUERIES["detector_scores"] = detector_scores
+
+
 def synthetic_distortion(spark, sf_dir: str) -> DataFrame:
     """Generated pages, distorted and straightened again: the share of ink that comes back, by
     kind. No table is read and no SQL twin exists."""
