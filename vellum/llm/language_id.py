@@ -125,10 +125,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     if not seen:
         return Filters([], 0, np.zeros((1, 1 << SLOT_BITS), np.uint64))
     names = [x[0] for x in seen]
-    info = spark.createDataFrame(
-        [(x, i, min(1.0, per_language / n), max(2.0, LEAST_SHARE * min(n, per_language))) for i, (x, n) in enumerate(seen)], "lang string, i int, share double, least double"
-    )
-    chosen = rows.join(info, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("i", "text")
+    least = F.element_at(F.array(*[F.lit(max(2.0, LEAST_SHARE * min(n, per_language))) for _, n in seen]), F.col("i") + 1)
+    # the languages are literals of the filter, so only chosen texts leave the scan
+    known = F.map_from_arrays(F.lit(names), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(min(1.0, per_language / n)).alias("share")) for i, (_, n) in enumerate(seen)]))
+    mine = rows.select("doc_id", "text", known[F.col("lang")].alias("x"))
+    chosen = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("x.share") * (1 << 20)).select(F.col("x.i").alias("i"), "text")
 
     def run(batches):
         for batch in in_pieces(batches, 1, TEXT_BYTES):
@@ -143,7 +144,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
                 yield pa.record_batch([pa.array(np.full(len(values), i, np.int32)), pa.array(values.view(np.int64)), pa.array(n)], names=["i", "gram", "n"])
 
     counted = chosen.mapInArrow(run, "i int, gram bigint, n bigint").groupBy("i", "gram").agg(F.sum("n").alias("n"))
-    kept = counted.join(info.select("i", "least"), "i").where("n >= least")
+    kept = counted.where(F.col("n") >= least)
     place = F.explode(F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * k).bitwiseAND((1 << SLOT_BITS) - 1) for k in range(HASHES)]))
     sliced = kept.select(F.expr("i div 64").alias("word"), F.expr("shiftleft(1L, cast(i % 64 as int))").alias("bit"), place.alias("slot"))
     got = sliced.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toArrow()
