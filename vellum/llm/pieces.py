@@ -73,7 +73,9 @@ class Lattice:
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN
         #: Every piece as (ids, score), and every other start of a piece as (b"", 0).
         self.nodes = {p[:i]: (b"", 0.0) for p in self.pieces for i in range(1, len(p))} | self.pieces
+        #: Remembered units, in two generations.
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def lattice(self, unit: str) -> tuple[list[float], list[list[tuple]]]:
         """The forward pass: the best score of each prefix, and the edges into each place as
@@ -143,10 +145,12 @@ class Lattice:
         """Score and ids of a unit's best segmentation, and the step down to the next one."""
         got = self.known.get(unit)
         if got is None:
-            found = self.n_best(unit, 2)
-            got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+            got = self.older.get(unit)
+            if got is None:
+                found = self.n_best(unit, 2)
+                got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING)
+            if len(self.known) >= REMEMBERED:  # what was met since the last change stays
+                self.known, self.older = {}, self.known
             if len(unit) <= REMEMBERED_CHARS:
                 self.known[unit] = got
         return got
