@@ -164,9 +164,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, fit
     """ratings(doc_id, ...): `grade` is a column over it, 0 to n_grades - 1 or null."""
     runtime.ship(docs.sparkSession)
     rated = columns(ratings, rated=ratings["doc_id"].cast("bigint"), grade=grade.cast("int")).where(f"rated is not null and grade between 0 and {n_grades - 1}")
+    # the ratings that are chosen are about fit_rows rows of two numbers, whatever the corpus
     n = rated.count()
     share = F.pmod(F.xxhash64("rated"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(n, 1)))
-    sample = columns(docs, id=docs["doc_id"].cast("bigint"), text="text").join(rated.where(share), F.col("id") == F.col("rated")).select("id", "grade", "text")
+    sample = columns(docs, id=docs["doc_id"].cast("bigint"), text="text").join(F.broadcast(rated.where(share)), F.col("id") == F.col("rated")).select("id", "grade", "text")
 
     def run(batches):
         for batch in in_pieces(batches, 2, TEXT_BYTES):
