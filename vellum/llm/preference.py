@@ -31,7 +31,7 @@ TURNS = "array<struct<role:string,text:string>>"
 def conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id, turns) of a table with a row per turn."""
     rows = columns(turns, id=turns[id_col].cast("bigint"), turn=turns["turn"].cast("bigint"), role="role", text="text").where("id is not null")
-    gathered = rows.distinct().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    gathered = rows.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     return gathered.select("id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
@@ -60,9 +60,13 @@ def _spans(turns: Column) -> Column:
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """chosen(id, turns) and rejected(id, turns): one row per id of chosen with n_common, prompt,
-    chosen, rejected, chosen_spans, rejected_spans and usable."""
-    pairs = chosen.select("id", F.col("turns").alias("c")).join(rejected.select("id", F.col("turns").alias("r")), "id", "left")
+    """chosen(id, turns) and rejected(id, turns): one formatted row per id of chosen."""
+    return formatted(chosen.select("id", F.col("turns").alias("c")).join(rejected.select("id", F.col("turns").alias("r")), "id", "left"))
+
+
+def formatted(pairs: DataFrame) -> DataFrame:
+    """pairs(id, c, r): arrays of turns, r may be null. Rows of n_common, prompt, chosen, rejected,
+    chosen_spans, rejected_spans and usable."""
     n = F.when(F.col("r").isNull(), F.lit(0)).otherwise(common_turns(F.col("c"), F.col("r")))
     parted = pairs.withColumn("n", n).select(
         "id", "n", F.slice("c", 1, F.col("n")).alias("p"),
@@ -77,20 +81,20 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
-def neighbours_as_rejected(chosen: DataFrame) -> DataFrame:
-    """A rejected conversation for each: its turns before its last assistant turn, then the last
-    assistant turn of the conversation whose id differs in the last bit. None where either has no
-    assistant turn."""
-    own = chosen.select("id", "turns", F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: F.coalesce(t["role"] == LEARNED, F.lit(False)))), True).cast("int") + 1)
-    own = own.toDF("id", "turns", "k")
-    other = chosen.select(F.col("id").bitwiseXOR(F.lit(1).cast("bigint")).alias("id"), F.try_element_at(F.filter("turns", lambda t: t["role"] == LEARNED), F.lit(-1)).alias("reply"))
-    spliced = own.join(other.where("reply is not null"), "id").where(F.col("k") <= F.size("turns"))
-    return spliced.select("id", F.concat(F.slice("turns", 1, F.col("k") - 1), F.array("reply")).alias("turns"))
+def beside_neighbours(chosen: DataFrame) -> DataFrame:
+    """(id, c, r): each conversation, and as rejected its turns before its last assistant turn,
+    then the last assistant turn of the conversation whose id differs in the last bit; null where
+    either has no assistant turn. Only the replies travel to their neighbours."""
+    replies = F.filter("turns", lambda t: t["role"] == LEARNED)
+    after = F.array_position(F.reverse(F.transform("turns", lambda t: F.coalesce(t["role"] == LEARNED, F.lit(False)))), True).cast("int")
+    sent = chosen.select(F.col("id").bitwiseXOR(F.lit(1).cast("bigint")).alias("id"), F.try_element_at(replies, F.lit(-1)).alias("reply")).where("reply is not null")
+    both = chosen.withColumn("before", F.size("turns") - after).join(sent, "id", "left")
+    spliced = F.when(F.col("reply").isNotNull() & (F.col("before") < F.size("turns")), F.concat(F.slice("turns", 1, F.col("before")), F.array("reply")))
+    return both.select("id", F.col("turns").alias("c"), spliced.alias("r"))
 
 
 def op6(turns: DataFrame) -> DataFrame:
-    chosen = conversations(turns)
-    rows = format_pairs(chosen, neighbours_as_rejected(chosen))
+    rows = formatted(beside_neighbours(conversations(turns)))
     as_text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
     return rows.select(
         F.col("id").alias("conv_id"), F.col("n_common").cast("bigint").alias("n_common"), F.sha2("prompt", 256).alias("prompt_sha256"),
