@@ -12,7 +12,7 @@ import xxhash
 pytest.importorskip("vellum.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from vellum.llm import compression, decontaminate, graph, language_id, licenses, ordinal, pieces, preference, queries, repeats, simhash, token_counts  # noqa: E402
+from vellum.llm import compression, decontaminate, graph, language_id, licenses, ordinal, pieces, preference, queries, repeats, similar, simhash, token_counts  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, n_words long, gram int, id string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups phi chi psi omega".split()
@@ -190,6 +190,38 @@ def test_one_of_each(spark, odd):
     assert sorted(x for x in kept if x is not None) == sorted(c for c in groups if c is not None)
 
 
+def test_similar_texts_are_one(spark):
+    """Every pair of a 5-word similarity of 0.8 or more is linked, whatever its digests, and none below."""
+    rows = []
+    for i in range(40):
+        words = prose(1000 + i, 100).split()
+        rows += [(10 * i + k, " ".join([*words[:50], *["other"] * (k > 0), *words[50 + k :], *["end"] * (k == 2)])) for k in range(3)]
+        rows += [(10 * i + 5, " ".join([*words[:30], "one", *words[31:55], "two", *words[56:80], "three", *words[81:]]))]
+    rows += [(1000, ""), (1001, None), (None, "a b"), (1002, "A  B")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root = [root[a] if r == root[b] else r for r in root]
+    want = {}
+    for (i, _), r in zip(rows, root):
+        want.setdefault(r, set()).add(i)
+    docs = table(spark, rows)
+    for most in (150, 2_000_000):
+        got = {}
+        for r in similar.groups(docs, most).collect():
+            got.setdefault(r.root, set()).add(r.doc_id)
+        assert sorted(map(str, got.values())) == sorted(map(str, want.values()))
+    kept = similar.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(want)
+    far = {r.component_id for r in simhash.groups(docs.where("doc_id < 1000")).collect()}
+    assert len(far) > len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(5, 5), (None, 3), (7, 6)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

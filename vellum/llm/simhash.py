@@ -38,17 +38,25 @@ SEED = 42
 BUCKET_MOST = 100_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of every word shingle, in order; a shorter text is one shingle, one without words has none."""
     words = text.translate(LOWER_ASCII).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     total = np.zeros(64, np.int64)
     for i in range(0, n, 65536):  # bounds the unpacked bits of a very long text
         total += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -161,7 +169,12 @@ def op2(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: the one of the smallest doc_id (null comes
     last; among rows of one id, the one whose text has the smallest hash)."""
+    return first_rows(docs, groups(docs))
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their root of grouped(doc_id, key, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    kept = groups(docs).groupBy("root").agg(first.alias("x")).select(F.coalesce("x.doc_id", "x.key").alias("__id"), F.col("x.key").alias("__key"))
+    kept = grouped.groupBy("root").agg(first.alias("x")).select(F.coalesce("x.doc_id", "x.key").alias("__id"), F.col("x.key").alias("__key"))
     keyed = docs.withColumn("__key", doc_key(docs["text"])).withColumn("__id", F.coalesce(docs["doc_id"].cast("bigint"), "__key"))
     return keyed.join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")

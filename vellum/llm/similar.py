@@ -1,0 +1,145 @@
+"""Near-duplicate documents by the similarity of their shingle sets, checked exactly.
+
+Two documents are linked where the Jaccard similarity of their sets of word shingles is at least
+`SIMILARITY`. Candidates come from MinHash: `BANDS` keys of `BAND_ROWS` minima each; documents
+that share a key make a bucket. A pair at similarity 0.8 shares none with probability
+(1 - 0.8^4)^20, or 3 in 100,000; more similar ones are missed less often. Every link is then
+decided by the sets themselves, from the texts, so that no pair below the threshold is linked.
+
+Equal sets are one node from the start, so exact copies cost one row. Buckets of the same members
+are compared once. A bucket yields a spanning forest, not its pairs; one whose sets hold more
+than `most` shingles is dealt into chunks and each pair of chunks is one group, so no pair goes
+uncompared and a task's memory is bounded.
+
+Defined cases: texts without words are one node; a text shorter than a shingle is one shingle;
+ids, repeated rows and other columns as in `simhash`.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vellum import runtime
+from vellum.llm.common import columns, doc_key, in_pieces, utf8
+from vellum.llm.graph import components
+from vellum.llm.simhash import first_rows, shingle_hashes
+
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+BANDS = 20
+BAND_ROWS = 4
+GROUP_SHINGLES = 2_000_000
+TEXT_BYTES = 4 << 20
+_R = np.random.RandomState(42)
+_FACTORS, _SHIFTS, _MIX = (_R.randint(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE_WORDS))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):  # bounds the products of a very long text
+        least = np.minimum(least, (hashes[i : i + 4096, None] * _FACTORS + _SHIFTS).min(axis=0))
+    mixed = (least ^ (least >> np.uint64(29))) * _MIX
+    return (mixed ^ (mixed >> np.uint64(32))).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, node, n, bands) per row of docs: node stands for its set of n shingles."""
+    runtime.ship(docs.sparkSession)
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in in_pieces(batches, 2, TEXT_BYTES):
+            sets = [shingle_set(t) for t in utf8(batch.column(2))]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            bands = [band_keys(s).view(np.int64) if len(s) else [] for s in sets]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, arrow.field("bands").type)], schema=arrow)
+
+    rows = columns(docs, doc_id=docs["doc_id"].cast("bigint"), key=doc_key(docs["text"]), text="text")
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, node bigint, n bigint, bands array<bigint>")
+
+
+def _deal(batches, most: int):
+    """(bucket, members) to (bucket, node, key): a bucket's chunks meet in pairs."""
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("key", pa.int64())])
+    for batch in batches:
+        for bucket, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+            node, n, key = (np.asarray(x, np.int64) for x in members.values.flatten())
+            chunk = (np.cumsum(n) - n) // most
+            chunks = np.unique(chunk)
+            pairs = [(a, b) for i, a in enumerate(chunks) for b in chunks[i + 1 :]] or [(chunks[0], chunks[0])]
+            for a, b in pairs:
+                rows = (chunk == a) | (chunk == b)
+                name = np.array(xxhash.xxh64_intdigest(np.array([bucket, a, b], np.int64).tobytes()), np.uint64).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(rows.sum(), name)), pa.array(node[rows]), pa.array(key[rows])], schema=schema)
+
+
+def forest(nodes: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Edges that tie each component of the sets (sorted, distinct) to its first node. Shared
+    shingles are counted through the list of sets that hold each shingle."""
+    sizes = np.array([len(s) for s in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    until = np.cumsum(np.bincount(place))
+    own = np.split(place, np.cumsum(sizes)[:-1])
+    left = np.ones(len(sets), bool)
+    edges = []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        turn = [root]
+        while turn and left.any():
+            x = turn.pop()
+            held = [owner[(until[i - 1] if i else 0) : until[i]] for i in own[x].tolist()]
+            common = np.bincount(np.concatenate(held), minlength=len(sets))
+            near = np.flatnonzero(left & (common >= similarity * (sizes + sizes[x] - common)))
+            left[near] = False
+            turn.extend(near.tolist())
+            edges += [(nodes[root], nodes[i]) for i in near]
+    return edges
+
+
+def _edges(batches):
+    """(bucket, node, text), sorted by bucket, to edges; holds one bucket's sets at most."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    now, nodes, sets = None, [], []
+    for batch in in_pieces(batches, 2, TEXT_BYTES):
+        found = []
+        for bucket, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
+            if bucket != now:
+                found += forest(nodes, sets) if len(nodes) > 1 else []
+                now, nodes, sets = bucket, [], []
+            nodes.append(node)
+            sets.append(shingle_set(text))
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=schema)
+    found = forest(nodes, sets) if len(nodes) > 1 else []
+    yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=schema)
+
+
+def groups(docs: DataFrame, most: int = GROUP_SHINGLES) -> DataFrame:
+    """(doc_id, key, root) per row of docs: rows of one component share a root."""
+    prints = runtime.stored(signatures(docs), "signatures")
+    points = prints.where("n > 0").groupBy("node").agg(F.min(F.struct("key", "n", "bands")).alias("x"))
+    banded = points.select("node", "x.n", "x.key", F.explode("x.bands").alias("band"))
+    members = F.array_sort(F.collect_list(F.struct("node", "n", "key")))
+    buckets = banded.groupBy("band").agg(members.alias("members")).where(F.size("members") > 1)
+    once = buckets.select(F.xxhash64("members").alias("bucket"), "members").dropDuplicates(["bucket"])
+    dealt = runtime.stored(once.mapInArrow(lambda batches: _deal(batches, most), "bucket bigint, node bigint, key bigint"), "dealt")
+    texts = columns(docs, key=doc_key(docs["text"]), text="text").join(dealt.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    met = dealt.join(texts, "key").select("bucket", "node", "text").repartition("bucket").sortWithinPartitions("bucket")
+    found = components(met.mapInArrow(_edges, "a bigint, b bigint"))
+    rows = prints.select("doc_id", "key", "node")
+    return rows.join(found, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all its columns, chosen as `simhash.one_of_each` does."""
+    return first_rows(docs, groups(docs))
