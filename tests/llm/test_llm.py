@@ -435,6 +435,21 @@ def test_bands(spark):
     assert got[2].ratio < 1.5 and not got[2].base_failed and got[4].n_words == 0 and got[4].base_failed
 
 
+def test_bands_see_noise_anywhere():
+    import base64
+
+    def noise(n):
+        text = base64.b64encode(random.Random(n).randbytes(n)).decode()
+        return " ".join(text[i : i + 7] for i in range(0, n, 7))[:n]
+
+    plain = "The harbour was quiet in the morning, and a few boats came back before the rain. Nobody had seen the old man since he left for the northern islands. "
+    fine = [" ".join(prose(i, 20_000)[: 2000 + 900 * i].split()) for i in range(4)] + [plain]
+    spoiled = [fine[0][:2000] + " " + noise(1900), fine[3] + " " + noise(1500) + " " + fine[3], fine[0][:1800] + noise(300), noise(240), plain[:100] + noise(130)]
+    bands = compression.Bands()
+    assert [bands.judge(t.encode())[3] for t in fine] == [True] * 5
+    assert [bands.judge(t.encode())[3] for t in spoiled] == [False] * 5
+
+
 # --- 9: repeats
 
 
