@@ -535,6 +535,19 @@ def test_license_scan(spark):
     assert "Apache-2.0-header" in [x for x, _ in rows[10]]
 
 
+def test_notices_among_other_words(spark):
+    scan = lambda t: [(x[0], x[1], x[2], x[4]) for x in licenses.Scanner().scan(t.encode())]
+    assert scan("Copyright (c) 2019 Harbour Press Ltd. All rights reserved.") == [("reserved", 0, 0, 0)]
+    assert scan("This book was scanned by volunteers in 2014. Released under the MIT License.") == [("MIT", 0, 0, 0)]
+    long = prose(5, 400)
+    for name, (notice, _) in licenses.TEMPLATES.items():
+        assert scan(f"{long} {notice} {long}") == [(name, 0, 0, 0)]
+        assert scan(f"{long} {notice.upper()}\n{long}") == [(name, 0, 0, 0)]
+    two = f"{long} Released under the MIT License. {long}\nLicensed under the Apache License,\nVersion 2.0. All rights reserved. {long}"
+    assert scan(two) == [("MIT", 0, 0, 0), ("Apache-2.0", 1, 2, 0), ("reserved", 2, 2, 0)]
+    assert scan("This work is licensed under the GNU Lesser General Public License, version 3.") == [("LGPL-3.0", 0, 0, 0)]
+
+
 def test_templates_tell_themselves_apart():
     scanner = licenses.Scanner()
     for name, (text, _) in licenses.TEMPLATES.items():

@@ -1,17 +1,17 @@
 """License scans by conditional compression.
 
-Blocks (lines) that hold a cue word are candidates. A candidate is compressed by zstandard on its
-own and with each template as raw dictionary; the more a template tells about the block, the more
-bytes it saves. Templates are ranked by what they save, relative to the block, and the best few
-are compared with the block word by word: the alignment's missing, added and replaced words are
-the exact differences. A template is confirmed where they are few and none touches its telling
-words (names and versions), so that a close relative with other terms doesn't pass.
-
-A notice that goes over several lines is judged as a whole too: candidate lines and the lines
-around them, up to the nearest empty ones, make a paragraph, and a paragraph of several lines is
-a block of its own.
-
-Defined cases: null and empty texts have no block; repeated blocks of a text count each time;
+Blocks (lines up to an empty one) that hold a cue word are candidates. A notice can stand anywhere
+in a block, over several lines, and beside others, so a block is read in windows: around every
+place of a template's rarest telling word (names and versions), as wide as the template with the
+differences it may have. A window's words are compressed by zstandard on their own and with the
+template's as raw dictionary; the bytes saved, by the template's own compressed size, don't depend
+on what else the block holds. Where they reach `LEAST_SAVED`, window and template are compared
+word by word: the alignment's missing, added and replaced words are the exact differences. A
+template is confirmed where they are few and none touches its telling words, so that a close
+relative with other terms doesn't pass. All confirmed templates of a block are returned; of those
+that claim the same words, the one that agrees in most words, less those that differ.
+
+Defined cases: null and empty texts have no block; repeated notices of a text count each time;
 every row keeps its own result, however many repeat; other columns are ignored; a tie between
 templates goes to the first by name.
 """
@@ -67,13 +67,13 @@ TEMPLATES: dict[str, tuple[str, str]] = {
 }
 CUES = re.compile(rb"licen[sc]e|copyright|\(c\)|rights reserved|redistribut|hereby granted|public domain|creative commons|waived|confidential", re.IGNORECASE)
 _WORD = re.compile(r"[\w.+-]*\w")
+#: Of a template's compressed size, this share at least must be saved.
 LEAST_SAVED = 0.25
-COMPARED = 4
 #: Of a template's words, this share may be missing or replaced, and as many added within it.
 DIFFERENT = 0.2
 LEVEL = 9
 TEXT_BYTES = 4 << 20
-REMEMBERED = 50_000
+REMEMBERED, REMEMBERED_BYTES = 50_000, 1000
 
 
 def words_of(text: str) -> list[str]:
@@ -88,62 +88,103 @@ class Scanner:
         options = {"level": LEVEL, "write_content_size": False}
         self.alone = zstandard.ZstdCompressor(**options).compress
         raw = zstandard.DICT_TYPE_RAWCONTENT
-        self.given = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(templates[n][0].encode(), dict_type=raw), **options).compress for n in self.names}
+        plain = {n: " ".join(self.words[n]).encode() for n in self.names}
+        self.given = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(plain[n], dict_type=raw), **options).compress for n in self.names}
+        self.size = {n: len(self.alone(plain[n])) for n in self.names}
         self.known: dict[bytes, list] = {}
 
-    def ranked(self, block: bytes) -> list[tuple[float, str]]:
-        """(share of the compressed size that the template saves, template), best first."""
-        alone = len(self.alone(block))
-        return sorted(((1 - len(self.given[n](block)) / alone, n) for n in self.names), key=lambda x: (-x[0], x[1]))
+    def saved(self, name: str, window: list[str]) -> float:
+        """Bytes the template saves of the window, by its own compressed size."""
+        data = " ".join(window).encode()
+        return (len(self.alone(data)) - len(self.given[name](data))) / self.size[name]
+
+    def steps(self, name: str, block: list[str]) -> list[tuple[str, int, int, int, int]]:
+        """The alignment's steps inside the template's extent in the block."""
+        steps = SequenceMatcher(None, self.words[name], block, autojunk=False).get_opcodes()
+        return [s for i, s in enumerate(steps) if not (s[0] == "insert" and i in (0, len(steps) - 1))]
 
     def differences(self, name: str, block: list[str]) -> list[tuple[str, list[str], list[str]]]:
         """(kind, template words, block words) inside the template's extent in the block."""
-        steps = SequenceMatcher(None, self.words[name], block, autojunk=False).get_opcodes()
-        inner = [s for i, s in enumerate(steps) if not (s[0] == "insert" and i in (0, len(steps) - 1))]
-        return [(kind, self.words[name][a:b], block[c:d]) for kind, a, b, c, d in inner if kind != "equal"]
+        return [(kind, self.words[name][a:b], block[c:d]) for kind, a, b, c, d in self.steps(name, block) if kind != "equal"]
+
+    def windows(self, name: str, places: dict[str, list[int]], n: int) -> list[tuple[int, int]]:
+        """Word ranges that hold every place where the template can be confirmed in a block of n words."""
+        if not all(w in places for w in self.telling[name]):
+            return []
+        words = self.words[name]
+        rare = min(sorted(self.telling[name]), key=lambda w: len(places[w]))
+        at = [i for i, w in enumerate(words) if w == rare]
+        more = int(DIFFERENT * len(words)) + 1
+        return [(max(0, k - at[-1] - more), min(n, k + len(words) - at[0] + more)) for k in places[rare]]
+
+    def fit(self, name: str, window: list[str]) -> tuple[int, int, float, int, int] | None:
+        """(first word, end, share saved, words that differ, words that agree) where it is confirmed."""
+        if (saved := self.saved(name, window)) < LEAST_SAVED:
+            return None
+        words, steps = self.words[name], self.steps(name, window)
+        lost = sum(b - a for kind, a, b, _, _ in steps if kind != "equal")
+        if lost > DIFFERENT * len(words) or any(self.telling[name] & set(words[a:b]) for kind, a, b, _, _ in steps if kind != "equal"):
+            return None
+        # an end that is replaced stands at the block's edge of the notice: other text follows there
+        extra = sum(d - c for kind, _, _, c, d in steps if kind == "insert")
+        if extra > DIFFERENT * len(words):
+            return None
+        same = [x for x in steps if x[0] == "equal"]
+        return same[0][3], same[-1][4], saved, lost + extra, len(words) - lost
+
+    def notices(self, block: list[str]) -> list[tuple[int, int, str, float, int]]:
+        """(first word, end, template, share saved, words that differ) of a block's notices in order."""
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(block):
+            places.setdefault(w, []).append(i)
+        hits = set()
+        for name in self.names:
+            for low, high in self.windows(name, places, len(block)):
+                if hit := self.fit(name, block[low:high]):
+                    first, end, saved, different, agree = hit
+                    hits.add((different - agree, name, low + first, low + end, different, saved))
+        found: list[tuple[int, int, str, float, int]] = []
+        taken = bytearray(len(block))
+        for _, name, first, end, different, saved in sorted(hits):
+            if not any(taken[first:end]):
+                taken[first:end] = b"\1" * (end - first)
+                found.append((first, end, name, saved, different))
+        return sorted(found)
 
     def confirm(self, block: bytes) -> tuple[str, float, int] | None:
-        """(template, share saved, words that differ) of the first ranked template that fits."""
-        if block in self.known:
-            return self.known[block]
-        found, best = None, None
-        words = words_of(block.decode(errors="replace"))
-        for saved, name in self.ranked(block)[:COMPARED]:
-            if saved < LEAST_SAVED:
-                break
-            steps = self.differences(name, words)
-            lost = sum(len(a) for _, a, _ in steps)
-            if lost > DIFFERENT * len(self.words[name]) or any(self.telling[name] & set(a) for _, a, _ in steps):
-                continue
-            # an end that is replaced stands at the block's edge of the notice: other text follows there
-            extra = sum(len(b) for i, (kind, _, b) in enumerate(steps) if kind == "insert")
-            if extra <= DIFFERENT * len(self.words[name]) and (best is None or (lost + extra, -len(self.words[name])) < best):
-                found, best = (name, saved, lost + extra), (lost + extra, -len(self.words[name]))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[block] = found
-        return found
+        """(template, share saved, words that differ) of the block's first notice."""
+        found = self.notices(words_of(block.decode(errors="replace")))
+        return found[0][2:] if found else None
+
+    def block(self, lines: list[bytes]) -> list[tuple[str, int, int, float, int]]:
+        key = b"\n".join(lines)
+        if not CUES.search(key):
+            return []
+        if key in self.known:
+            return self.known[key]
+        words, line_of = [], []
+        for i, line in enumerate(lines):
+            found = words_of(line.decode(errors="replace"))
+            words += found
+            line_of += [i] * len(found)
+        hits = [(name, line_of[first], line_of[end - 1], saved, different) for first, end, name, saved, different in self.notices(words)]
+        if len(key) <= REMEMBERED_BYTES:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[key] = hits
+        return hits
 
     def scan(self, text: bytes | None) -> list[tuple[str, int, int, float, int]]:
         """(template, first line, last line, share saved, words that differ) in order of lines."""
         if not text or not CUES.search(text):
             return []
         lines = text.split(b"\n")
-        found, done = [], -1
-        for i, line in enumerate(lines):
-            if not CUES.search(line):
-                continue
-            if hit := self.confirm(line):
-                found.append((hit[0], i, i, hit[1], hit[2]))
-            elif i > done:
-                low, high = i, i
-                while low and lines[low - 1].strip() and i - low < 12:
-                    low -= 1
-                while high + 1 < len(lines) and lines[high + 1].strip() and high - i < 12:
-                    high += 1
-                if high > low and (hit := self.confirm(b" ".join(lines[low : high + 1]))):
-                    found.append((hit[0], low, high, hit[1], hit[2]))
-                    done = high
+        found, start = [], 0
+        for i in range(len(lines) + 1):
+            if i == len(lines) or not lines[i].strip():
+                if i > start:
+                    found += [(name, start + low, start + high, saved, n) for name, low, high, saved, n in self.block(lines[start:i])]
+                start = i + 1
         return found
 
 
