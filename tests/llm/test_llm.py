@@ -111,6 +111,14 @@ def test_clean_documents_keep_columns(spark, odd):
     assert key((r.doc_id, r.text) for r in kept.collect()) == key((i, t) for i, t in odd if i not in bad)
 
 
+def test_clean_rows_stay_beside_contaminated_ones(spark):
+    item = prose(11, 30)
+    rows = [(None, item), (None, prose(12, 30)), (None, None), (7, item), (7, prose(13, 30)), (8, prose(14, 30))]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.clean_documents(table(spark, rows), bench)
+    assert key((r.doc_id, r.text) for r in kept.collect()) == key((i, t) for i, t in rows if t != item)
+
+
 def test_proximity(spark):
     item = "one two three four five six"
     docs = table(spark, [(1, "x one two three four five six y"), (2, "one two three extra four five six"), (3, "one two three a b c d four five six"), (4, "one two three"), (5, "four five six")])

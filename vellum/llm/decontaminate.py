@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum import runtime
-from vellum.llm.common import alnum_words, columns, in_pieces, utf8
+from vellum.llm.common import alnum_words, columns, doc_key, in_pieces, utf8
 
 WINDOW_WORDS = 13
 SEGMENT_BYTES = 8 << 20
@@ -245,10 +245,11 @@ def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns. Rows that share an id
-    go together: all, if one of them is contaminated."""
-    bad = contamination(docs, benchmark, slop=0).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of docs that aren't contaminated, with all their columns. A row's text decides,
+    so rows go by the text's hash: others of the same or of no id stay."""
+    texts = columns(docs, doc_id=doc_key(docs["text"]), text="text")
+    bad = contamination(texts, benchmark, slop=0).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, doc_key(docs["text"]) == bad["__bad"], "left_anti")
 
 
 ORACLE = """
