@@ -75,7 +75,7 @@ def by_two_kernels(ink: DataFrame, height: int, width: int, k1: int, k2: int, le
 
 
 def by_hough(ink: DataFrame, height: int, width: int, block: int = 8, step: float = 2.0, **options) -> DataFrame:
-    """Votes of block centres of usual components; every component goes to the nearest line."""
+    """Votes of block centres of all components; every component goes whole to the nearest line."""
     found = components.components(ink)
     cells = components.component_cells(ink)
     centres = components.block_centres(cells, F.lit(block))
