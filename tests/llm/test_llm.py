@@ -12,7 +12,7 @@ import xxhash
 pytest.importorskip("vellum.llm")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from vellum.llm import compression, decontaminate, graph, language_id, licenses, ordinal, pieces, preference, queries, repeats, similar, simhash, token_counts  # noqa: E402
+from vellum.llm import compression, decontaminate, graph, language_id, licenses, near_copies, ordinal, pieces, preference, queries, repeats, simhash, token_counts  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, n_words long, gram int, id string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups phi chi psi omega".split()
@@ -219,12 +219,12 @@ def test_similar_texts_are_one(spark):
     for (i, _), r in zip(rows, root):
         want.setdefault(r, set()).add(i)
     docs = table(spark, rows)
-    for most in (150, 2_000_000):
+    for most, bucket in ((150, 40), (600, 100_000), (2_000_000, 100_000)):
         got = {}
-        for r in similar.groups(docs, most).collect():
+        for r in near_copies.groups(docs, most, bucket).collect():
             got.setdefault(r.root, set()).add(r.doc_id)
         assert sorted(map(str, got.values())) == sorted(map(str, want.values()))
-    kept = similar.one_of_each(docs)
+    kept = near_copies.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len(want)
     far = {r.component_id for r in simhash.groups(docs.where("doc_id < 1000")).collect()}
     assert len(far) > len(want)

@@ -61,3 +61,15 @@ def result(schema: pa.Schema, **columns: list) -> pa.RecordBatch:
 def doc_key(text: Column) -> Column:
     """Parts rows that share an id but not a text."""
     return F.xxhash64(text)
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that no column of df has, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name in have:
+            name += "_"
+        have.add(name)
+        out.append(name)
+    return out

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum import runtime
-from vellum.llm.common import LOWER_ASCII, columns, doc_key, utf8
+from vellum.llm.common import LOWER_ASCII, columns, doc_key, fresh, utf8
 from vellum.llm.graph import components
 
 SHINGLE_WORDS = 4
@@ -168,13 +168,19 @@ def op2(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group, with all its columns: the one of the smallest doc_id (null comes
-    last; among rows of one id, the one whose text has the smallest hash)."""
+    last; among rows of one id, the one whose text has the smallest hash; among rows of one id
+    and text, the one whose other columns have)."""
     return first_rows(docs, groups(docs))
 
 
 def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of docs that come first in their root of grouped(doc_id, key, root)."""
+    id_, key, tie = fresh(docs, "id", "key", "tie")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    kept = grouped.groupBy("root").agg(first.alias("x")).select(F.coalesce("x.doc_id", "x.key").alias("__id"), F.col("x.key").alias("__key"))
-    keyed = docs.withColumn("__key", doc_key(docs["text"])).withColumn("__id", F.coalesce(docs["doc_id"].cast("bigint"), "__key"))
-    return keyed.join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    kept = grouped.groupBy("root").agg(first.alias("x")).select(F.coalesce("x.doc_id", "x.key").alias(id_), F.col("x.key").alias(key))
+    keyed = docs.withColumn(key, doc_key(docs["text"])).withColumn(id_, F.coalesce(docs["doc_id"].cast("bigint"), F.col(key)))
+    chosen = keyed.join(kept, [id_, key], "left_semi")
+    others = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name != "text"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = chosen.withColumn(tie, F.xxhash64(*others)).groupBy(id_, key).agg(F.min_by(whole, F.col(tie)).alias(tie))
+    return least.select(*[F.col(tie)[c].alias(c) for c in docs.columns])
