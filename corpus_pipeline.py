@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum import runtime
-from vellum.llm import decontaminate, ordinal, pieces, repeats, similar
+from vellum.llm import decontaminate, near_copies, ordinal, pieces, repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: 5-word shingles, similarity 0.8 or more.
-    Operator 2's digests of 4-word shingles within 4 bits bind its own query only."""
-    return similar.one_of_each(docs)
+    """Operator 2: the first document of each group of near copies. Its method with 5-word shingles
+    and fingerprints wide enough for a similarity of 0.8; 4 of 64 bits bind its own query only."""
+    return near_copies.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
