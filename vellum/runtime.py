@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_SHIPPED: set[str] = set()
 
 
 def session(cpus: int | str = "*", app: str = "vellum", memory: str = "16g") -> SparkSession:
@@ -30,21 +36,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed on them."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    """Let Python workers import this package when it isn't installed on them: local ones by their
+    path, those of other machines by an archive that Spark hands them."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        env = sc.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    elif sc.applicationId not in _SHIPPED:
+        folder = tempfile.mkdtemp()  # the driver serves the archive from there until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        name = os.path.join(folder, f"{__package__}-{uuid.uuid4().hex}.zip")
+        with zipfile.ZipFile(name, "w") as archive:
+            for path in sorted(Path(ROOT, __package__).rglob("*.py")):
+                archive.write(path, path.relative_to(ROOT))
+        sc.addPyFile(name)
+        _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is
-    unset (local tests), one below Spark's warehouse is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in
+    local tests, one below Spark's warehouse is set; on a cluster that is an error, as the
+    warehouse may be a folder of one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         have = sc._jsc.sc().getCheckpointDir()
         if have.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             warehouse = spark.conf.get("spark.sql.warehouse.dir")
             sc.setCheckpointDir(f"{warehouse.rstrip('/')}/_shared")
             have = sc._jsc.sc().getCheckpointDir()
