@@ -315,6 +315,25 @@ def test_pieces_round_trip(spark, odd):
     assert key(map(tuple, pieces.decoded(best, path).collect())) == key((i, t or "") for i, t in rows)
 
 
+def test_library_ids(lattice, odd):
+    import numpy as np
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for text in [t or "" for _, t in odd] + ODD_TEXTS + ["  a  b \n\n c", "\nword\n", "x▁y ▁", " ", "tab\tbed"]:
+        assert np.frombuffer(lattice.library(text), "<i4").tolist() == model.encode(text)
+
+
+def test_long_unit_takes_linear_time(lattice):
+    import time
+
+    text = "".join(random.Random(1).choices("abcdefghij", k=200_000))
+    began = time.time()
+    got = lattice.encode(text, 3)
+    assert len(got) == 3 and lattice.decode(got[0][1]) == text
+    assert time.time() - began < 30
+
+
 # --- 5: language
 
 

@@ -13,6 +13,11 @@ are found once and remembered (up to a fixed number of units), as the best one a
 to the next. A text's best is the sum over its units; for the n best, the n-1 units with the
 smallest steps are enough, and the same search runs over their ranked lists.
 
+The scores of a merge (BPE) model are the ranks of its merges, not logarithms of probabilities. Its
+library applies merges in order and ignores them, so a text's best segmentation here mostly isn't
+the library's. The library's ids are returned beside the n best; these are what the model's own
+tokenizer gives, and what a trainer of such a model should take.
+
 Text is encoded with one space put before it, spaces as the mark. The mark itself in a text is
 encoded as bytes, so decoding gives the same text for every text.
 
@@ -44,9 +49,11 @@ UNKNOWN = 10.0
 TEXT_BYTES = 2 << 20
 REMEMBERED = 500_000
 REMEMBERED_CHARS = 40
+REMEMBERED_LISTS = 50_000
 _UNIT = re.compile(" *[^ \n]+| +|\n")
 NOTHING = float("-inf")
 _SCORE, _IDS, _STEP = map(itemgetter, range(3))
+_NODE = (b"", 0.0)
 
 
 class Lattice:
@@ -72,89 +79,110 @@ class Lattice:
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN
         #: Every piece as (ids, score), and every other start of a piece as (b"", 0).
-        self.nodes = {p[:i]: (b"", 0.0) for p in self.pieces for i in range(1, len(p))} | self.pieces
-        #: Remembered units, in two generations.
+        self.nodes = {p[:i]: _NODE for p in self.pieces for i in range(1, len(p))} | self.pieces
+        self.encode_ids = model.encode
+        #: Remembered units, in two generations, and their ranked lists.
+        self.lists: dict[tuple[str, int], list] = {}
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
-    def lattice(self, unit: str) -> tuple[list[float], list[list[tuple]]]:
-        """The forward pass: the best score of each prefix, and the edges into each place as
-        (best score up to the edge's end through it, start, own score, ids), longest piece first."""
+    def lattice(self, unit: str) -> list[float]:
+        """The forward pass: the best score of each prefix."""
         n, get = len(unit), self.nodes.get
         best = [NOTHING] * (n + 1)
         best[0] = 0.0
-        into: list[list[tuple]] = [[] for _ in range(n + 1)]
         for start in range(n):
             here = best[start]
+            if not get(unit[start], _NODE)[0] and here + self.unknown > best[start + 1]:
+                best[start + 1] = here + self.unknown
             for end in range(start + 1, n + 1):
                 got = get(unit[start:end])
                 if got is None:
-                    if end == start + 1:
-                        self._unknown(unit, start, here, best, into)
                     break
-                ids, score = got
-                if ids:
-                    through = here + score
-                    into[end].append((through, start, score, ids))
-                    if through > best[end]:
-                        best[end] = through
-                elif end == start + 1:
-                    self._unknown(unit, start, here, best, into)
-        return best, into
-
-    def _unknown(self, unit: str, start: int, here: float, best: list, into: list) -> None:
-        """The edge of a character that is no piece."""
-        ids = b"".join(self.bytes[b] for b in unit[start].encode("utf-8", "replace"))
-        through = here + self.unknown
-        into[start + 1].append((through, start, self.unknown, ids))
-        best[start + 1] = max(best[start + 1], through)
+                if got[0] and here + got[1] > best[end]:
+                    best[end] = here + got[1]
+        return best
+
+    def edges(self, unit: str, end: int) -> list[tuple[int, float, bytes]]:
+        """The edges into a place as (start, score, ids), longest piece first."""
+        get, out = self.pieces.get, []
+        for start in range(max(0, end - self.longest), end):
+            if (got := get(unit[start:end])) is not None:
+                out.append((start, got[1], got[0]))
+            elif start == end - 1:  # a character that is no piece
+                out.append((start, self.unknown, b"".join(self.bytes[b] for b in unit[start].encode("utf-8", "replace"))))
+        return out
 
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations as (score, 32-bit ids), best first.
 
         Every queued suffix stands for at least one whole segmentation, of exactly the score that
         ranks it, and no two for the same one. So of the queue only as many entries as are still
-        wanted can be of use, and it is a short sorted list."""
-        best, into = self.lattice(unit)
-        # (minus the whole score, order of discovery, place, own score, ids after it)
-        queue: list[tuple] = [(-best[-1], 0, len(unit), 0.0, b"")]
+        wanted can be of use, and it is a short sorted list. A suffix points to the one it prolongs."""
+        best = self.lattice(unit)
+        # (minus the whole score, order of discovery, place, own score, (ids, the suffix after them))
+        queue: list[tuple] = [(-best[-1], 0, len(unit), 0.0, None)]
         found: list[tuple[float, bytes]] = []
         number = 0
         while queue:
-            _, _, end, own, tail = queue.pop(0)
+            _, _, end, own, suffix = queue.pop(0)
             if not end:
-                found.append((own, tail))
+                parts = []
+                while suffix is not None:
+                    parts.append(suffix[0])
+                    suffix = suffix[1]
+                found.append((own, b"".join(parts)))
+                if len(found) == n:
+                    break
                 continue
             room = n - len(found)
-            for through, start, score, ids in into[end]:
+            for start, score, ids in self.edges(unit, end):
                 number += 1
-                rank = -(own + through)
+                rank = -(own + (best[start] + score))
                 if len(queue) < room:
-                    insort(queue, (rank, number, start, own + score, ids + tail))
+                    insort(queue, (rank, number, start, own + score, (ids, suffix)))
                 elif rank < queue[-1][0]:
                     queue.pop()
-                    insort(queue, (rank, number, start, own + score, ids + tail))
-            if len(found) == n:
-                break
+                    insort(queue, (rank, number, start, own + score, (ids, suffix)))
         return found
 
+    def merged(self, unit: str) -> bytes:
+        """The library's own ids of a unit: it applies merges in order, and none crosses units.
+        The line feed before it keeps the library from putting a space there."""
+        return np.array(self.encode_ids("\n" + unit)[2:], "<i4").tobytes()
+
+    def library(self, text: str) -> bytes:
+        """The 32-bit ids that the library gives the whole text."""
+        return b"".join([self.remembered(u)[3] for u in self.units(text)])
+
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(" " + text) if text else []
 
-    def remembered(self, unit: str) -> tuple[float, bytes, float]:
-        """Score and ids of a unit's best segmentation, and the step down to the next one."""
+    def remembered(self, unit: str) -> tuple[float, bytes, float, bytes]:
+        """Score and ids of a unit's best segmentation, the step down to the next one, and the
+        library's ids."""
         got = self.known.get(unit)
         if got is None:
             got = self.older.get(unit)
             if got is None:
                 found = self.n_best(unit, 2)
-                got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING)
+                got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING, self.merged(unit))
             if len(self.known) >= REMEMBERED:  # what was met since the last change stays
                 self.known, self.older = {}, self.known
             if len(unit) <= REMEMBERED_CHARS:
                 self.known[unit] = got
         return got
 
+    def ranked(self, unit: str, n: int) -> list[tuple[float, bytes]]:
+        """n_best, remembered."""
+        if (got := self.lists.get((unit, n))) is None:
+            got = self.n_best(unit, n)
+            if len(unit) <= REMEMBERED_CHARS:
+                if len(self.lists) >= REMEMBERED_LISTS:
+                    self.lists.clear()
+                self.lists[unit, n] = got
+        return got
+
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of the whole text as (score, 32-bit ids), best first."""
         units = self.units(text)
@@ -170,7 +198,7 @@ class Lattice:
         while len(chosen) < n - 1 and steps[i := int(steps.argmin())] < -NOTHING:
             chosen.append(i)
             steps[i] = -NOTHING
-        lists = [self.n_best(units[i], n) for i in chosen]
+        lists = [self.ranked(units[i], n) for i in chosen]
         # the same search over the ranks taken in these units
         queue, seen = [(0.0, (0,) * len(chosen))], set()
         while queue and len(found) < n:
@@ -239,13 +267,13 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
 
 
 def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = False) -> DataFrame:
-    """Per row of docs: n_pieces, the scores of the n best, the digest of the best ids (and with
-    keep_ids these themselves), and whether they decode to the text. Encoding and decoding run in
-    one pass, so ids needn't travel."""
+    """Per row of docs: n_pieces, the scores of the n best, the digest of the best ids, whether they
+    decode to the text, and number and digest of the library's ids; with keep_ids the ids of both.
+    Encoding and decoding run in one pass, so ids needn't travel."""
     runtime.ship(docs.sparkSession)
-    fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_best", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]
-    schema = "doc_id bigint, n_pieces bigint, n_best bigint, scores array<double>, ids_sha256 string, round_trip boolean"
-    arrow = pa.schema([*fields, *[("ids", pa.binary())] * keep_ids])
+    fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_best", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids_sha256", pa.string()), ("round_trip", pa.bool_()), ("n_library", pa.int64()), ("library_sha256", pa.string())]
+    schema = "doc_id bigint, n_pieces bigint, n_best bigint, scores array<double>, ids_sha256 string, round_trip boolean, n_library bigint, library_sha256 string"
+    arrow = pa.schema([*fields, *[("ids", pa.binary()), ("library_ids", pa.binary())] * keep_ids])
 
     def run(batches):
         lattice = load(path)
@@ -254,15 +282,16 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = Fals
             for id_, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 text = raw.decode(errors="replace") if raw else ""
                 best = lattice.encode(text, n)
-                ids = best[0][1]
-                rows.append((id_, len(ids) // 4, len(best), [s for s, _ in best], hashlib.sha256(ids).hexdigest(), lattice.decode(ids) == text, *[ids] * keep_ids))
+                ids, library = best[0][1], lattice.library(text)
+                digests = [hashlib.sha256(x).hexdigest() for x in (ids, library)]
+                rows.append((id_, len(ids) // 4, len(best), [s for s, _ in best], digests[0], lattice.decode(ids) == text, len(library) // 4, digests[1], *[ids, library] * keep_ids))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return columns(docs, doc_id=docs["doc_id"].cast("bigint"), text="text").mapInArrow(run, schema + ", ids binary" * keep_ids)
+    return columns(docs, doc_id=docs["doc_id"].cast("bigint"), text="text").mapInArrow(run, schema + ", ids binary, library_ids binary" * keep_ids)
 
 
 def op4(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     rows = segmented(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return rows.select("doc_id", "n_pieces", "n_best", F.element_at("scores", 1).alias("score"), (F.col("scores")[0] - F.element_at("scores", -1)).alias("spread"), "ids_sha256", "round_trip")
+    return rows.select("doc_id", "n_pieces", "n_best", F.element_at("scores", 1).alias("score"), (F.col("scores")[0] - F.element_at("scores", -1)).alias("spread"), "ids_sha256", "round_trip", "n_library", "library_sha256")
