@@ -39,11 +39,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: each document's best segmentation, with the scores of the next ones."""
+    """Operator 4: each document's ids for training, as the model's library gives them, and beside
+    them its best segmentation by the lattice, with the step down to the last of the n best."""
     import public_tokenizers
 
     rows = pieces.segmented(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
-    return rows.select("doc_id", "n_pieces", F.element_at("scores", 1).alias("score"), (F.col("scores")[0] - F.element_at("scores", -1)).alias("spread"), "round_trip", "ids")
+    spread = F.col("scores")[0] - F.element_at("scores", -1)
+    return rows.select("doc_id", "n_library", F.col("library_ids").alias("ids"), "n_pieces", F.element_at("scores", 1).alias("score"), spread.alias("spread"), "round_trip", F.col("ids").alias("best_ids"))
 
 
 STAGES = [
