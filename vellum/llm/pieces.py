@@ -33,6 +33,7 @@ import heapq
 import re
 from bisect import insort
 from operator import itemgetter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ REMEMBERED_CHARS = 40
 REMEMBERED_LISTS = 50_000
 _UNIT = re.compile(" *[^ \n]+| +|\n")
 NOTHING = float("-inf")
-_SCORE, _IDS, _STEP = map(itemgetter, range(3))
+_SCORE, _IDS, _STEP, _LIBRARY = map(itemgetter, range(4))
 _NODE = (b"", 0.0)
 
 
@@ -86,31 +87,46 @@ class Lattice:
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
-    def lattice(self, unit: str) -> list[float]:
-        """The forward pass: the best score of each prefix."""
+    def lattice(self, unit: str) -> tuple[list[float], list | None]:
+        """The forward pass: the best score of each prefix, and for a short unit the edges into each
+        place. Those of a long one aren't kept; they are looked up again where the search comes."""
         n, get = len(unit), self.nodes.get
         best = [NOTHING] * (n + 1)
         best[0] = 0.0
+        into = [[] for _ in best] if n <= REMEMBERED_CHARS else None
         for start in range(n):
             here = best[start]
-            if not get(unit[start], _NODE)[0] and here + self.unknown > best[start + 1]:
-                best[start + 1] = here + self.unknown
             for end in range(start + 1, n + 1):
                 got = get(unit[start:end])
+                if got is None and end > start + 1:
+                    break
+                if got is not None and got[0]:
+                    ids, score = got
+                elif end == start + 1:
+                    ids, score = self.spelled(unit[start])
+                else:
+                    continue
+                if here + score > best[end]:
+                    best[end] = here + score
+                if into is not None:
+                    into[end].append((here + score, start, score, ids))
                 if got is None:
                     break
-                if got[0] and here + got[1] > best[end]:
-                    best[end] = here + got[1]
-        return best
+        return best, into
+
+    def spelled(self, letter: str) -> tuple[bytes, float]:
+        """The edge of a character that is no piece."""
+        return b"".join(self.bytes[b] for b in letter.encode("utf-8", "replace")), self.unknown
 
-    def edges(self, unit: str, end: int) -> list[tuple[int, float, bytes]]:
-        """The edges into a place as (start, score, ids), longest piece first."""
+    def edges(self, unit: str, end: int, best: list[float]) -> list[tuple[float, int, float, bytes]]:
+        """The edges into a place as (best score through it, start, own score, ids), longest piece first."""
         get, out = self.pieces.get, []
         for start in range(max(0, end - self.longest), end):
             if (got := get(unit[start:end])) is not None:
-                out.append((start, got[1], got[0]))
+                out.append((best[start] + got[1], start, got[1], got[0]))
             elif start == end - 1:  # a character that is no piece
-                out.append((start, self.unknown, b"".join(self.bytes[b] for b in unit[start].encode("utf-8", "replace"))))
+                ids, score = self.spelled(unit[start])
+                out.append((best[start] + score, start, score, ids))
         return out
 
     def n_best(self, unit: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
@@ -119,7 +135,7 @@ class Lattice:
         Every queued suffix stands for at least one whole segmentation, of exactly the score that
         ranks it, and no two for the same one. So of the queue only as many entries as are still
         wanted can be of use, and it is a short sorted list. A suffix points to the one it prolongs."""
-        best = self.lattice(unit)
+        best, into = self.lattice(unit)
         # (minus the whole score, order of discovery, place, own score, (ids, the suffix after them))
         queue: list[tuple] = [(-best[-1], 0, len(unit), 0.0, None)]
         found: list[tuple[float, bytes]] = []
@@ -136,9 +152,9 @@ class Lattice:
                     break
                 continue
             room = n - len(found)
-            for start, score, ids in self.edges(unit, end):
+            for through, start, score, ids in into[end] if into else self.edges(unit, end, best):
                 number += 1
-                rank = -(own + (best[start] + score))
+                rank = -(own + through)
                 if len(queue) < room:
                     insort(queue, (rank, number, start, own + score, (ids, suffix)))
                 elif rank < queue[-1][0]:
@@ -149,11 +165,19 @@ class Lattice:
     def merged(self, unit: str) -> bytes:
         """The library's own ids of a unit: it applies merges in order, and none crosses units.
         The line feed before it keeps the library from putting a space there."""
-        return np.array(self.encode_ids("\n" + unit)[2:], "<i4").tobytes()
+        ids = self.encode_ids("\n" + unit)
+        return pack(f"<{len(ids) - 2}i", *ids[2:])
 
     def library(self, text: str) -> bytes:
         """The 32-bit ids that the library gives the whole text."""
-        return b"".join([self.remembered(u)[3] for u in self.units(text)])
+        return b"".join(map(_LIBRARY, self.firsts(self.units(text))))
+
+    def firsts(self, units: list[str]) -> list[tuple]:
+        """What is remembered of each unit."""
+        found = list(map(self.known.get, units))
+        if None in found:
+            found = [x or self.remembered(u) for x, u in zip(found, units)]
+        return found
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(" " + text) if text else []
@@ -186,9 +210,9 @@ class Lattice:
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of the whole text as (score, 32-bit ids), best first."""
         units = self.units(text)
-        firsts = list(map(self.known.get, units))
-        if None in firsts:
-            firsts = [x or self.remembered(u) for x, u in zip(firsts, units)]
+        return self.ranked_whole(units, self.firsts(units), n)
+
+    def ranked_whole(self, units: list[str], firsts: list[tuple], n: int) -> list[tuple[float, bytes]]:
         ids = list(map(_IDS, firsts))
         found = [(sum(map(_SCORE, firsts)), b"".join(ids))]
         if n == 1 or not units:
@@ -281,8 +305,10 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = Fals
             rows = []
             for id_, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 text = raw.decode(errors="replace") if raw else ""
-                best = lattice.encode(text, n)
-                ids, library = best[0][1], lattice.library(text)
+                units = lattice.units(text)
+                firsts = lattice.firsts(units)
+                best = lattice.ranked_whole(units, firsts, n)
+                ids, library = best[0][1], b"".join(map(_LIBRARY, firsts))
                 digests = [hashlib.sha256(x).hexdigest() for x in (ids, library)]
                 rows.append((id_, len(ids) // 4, len(best), [s for s, _ in best], digests[0], lattice.decode(ids) == text, len(library) // 4, digests[1], *[ids, library] * keep_ids))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
