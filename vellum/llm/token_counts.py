@@ -1,12 +1,15 @@
 """Token counts of whole texts by a public tokenizer, without keeping a token.
 
 Texts are cut at ASCII white space, which no pre-token, special string or merge of the
-vocabulary crosses, so a text's count is the sum of its pieces' counts. A text therefore never
-has to be encoded as a whole, however long it is. Pieces not met before are encoded in batches of
-balanced bytes; a worker remembers the counts of short ones, up to a fixed number.
+vocabulary crosses, so a text's count is the sum of its pieces' counts. Long pieces are cut on,
+between an ASCII digit and the ASCII letter or digit beside it, where such a tokenizer's
+pre-tokens end too. So a long text isn't encoded as a whole, unless it is one pre-token to the
+library itself. Pieces not met before are encoded in batches of balanced bytes; a worker remembers
+the counts of short ones, up to a fixed number.
 
 Whether a tokenizer's cuts are safe is checked when it is loaded: BPE over pre-tokens that drop
-white space. Any other tokenizer gets whole texts, in the same balanced batches.
+white space, and for the second cut single digits. Any other tokenizer gets whole texts, in the
+same balanced batches.
 
 Defined cases: a null text counts as empty; empty texts have no tokens; rows are kept one for one,
 in any order and however often they repeat; other columns are ignored.
@@ -32,6 +35,9 @@ REMEMBERED_CHARS = 48
 
 #: ASCII white space only: the library's patterns know it as white space under any rule.
 _CUT = re.compile(r"[ \t\n\r\f\v]+")
+#: Beside a digit, both sides ASCII: neither normalisation nor a special string goes over it.
+_DIGIT = re.compile(r"(?<=[0-9])(?=[A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9])")
+LONG_CHARS = 4096
 _LOADED: dict[str, tuple] = {}
 
 
@@ -43,8 +49,21 @@ def _cuts_are_safe(spec: dict) -> bool:
     return spec["model"]["type"] == "BPE" and drops and no_space and known and spec["model"].get("dropout") is None
 
 
+def _digits_are_alone(spec: dict) -> bool:
+    """Pre-tokens of letters only or of one digit, and special strings without digits."""
+    pre = json.dumps(spec.get("pre_tokenizer"))
+    return r"[\\p{L}]+|[\\p{N}]|" in pre and not any(any(c.isdigit() for c in t["content"]) for t in spec.get("added_tokens", []))
+
+
+def _pieces(text: str, digits: bool) -> list[str]:
+    found = _CUT.split(text)
+    if digits and max(map(len, found)) > LONG_CHARS:
+        found = [p for f in found for p in (_DIGIT.split(f) if len(f) > LONG_CHARS else (f,))]
+    return found
+
+
 def load(path: str) -> tuple:
-    """(encode a list of texts to lengths, whether cuts at white space are safe, remembered counts)"""
+    """(encode a list of texts to lengths, whether cuts at white space are safe, remembered counts, whether cuts at digits are)"""
     if path not in _LOADED:
         if path.endswith(".json"):
             import os
@@ -56,22 +75,23 @@ def load(path: str) -> tuple:
             tok.no_truncation()
             tok.no_padding()
             with open(path, encoding="utf-8") as f:
-                safe = _cuts_are_safe(json.load(f))
-            _LOADED[path] = (lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], safe, {})
+                spec = json.load(f)
+            safe = _cuts_are_safe(spec)
+            _LOADED[path] = (lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], safe, {}, safe and _digits_are_alone(spec))
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _LOADED[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False, {})
+            _LOADED[path] = (lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False, {}, False)
     return _LOADED[path]
 
 
 def _in_batches(texts: list[str], encode, most: int):
-    """Lengths of the texts, encoded in batches of about `most` characters."""
+    """Lengths of the texts, encoded in batches of about `most` bytes."""
     found, batch, held = [], [], 0
     for t in texts:
         batch.append(t)
-        held += len(t)
+        held += len(t) if t.isascii() else len(t.encode("utf-8", "replace"))
         if held >= most:
             found += encode(batch)
             batch, held = [], 0
@@ -79,10 +99,10 @@ def _in_batches(texts: list[str], encode, most: int):
 
 
 def count_tokens(texts: list[str], path: str, batch_bytes: int = BATCH_BYTES) -> list[int]:
-    encode, safe, known = load(path)
+    encode, safe, known, digits = load(path)
     if not safe:
         return _in_batches(texts, encode, batch_bytes)
-    pieces = [_CUT.split(t) for t in texts]
+    pieces = [_pieces(t, digits) for t in texts]
     new = list({p for ps in pieces for p in ps if p not in known})
     if len(known) + len(new) > REMEMBERED:
         known.clear()
