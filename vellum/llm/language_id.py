@@ -9,7 +9,7 @@ of the n-grams it lacks, the fraction fill^k passes by chance. The corrected sha
 (share - f) / (1 - f) decides; the score is the winner's part of all corrected shares.
 
 The filters are learned from at most about `per_language` documents of each language, chosen by
-a hash of the id. Their size in bytes is slots times the smallest of 1, 2, 4, 8, 16 ... that has
+a hash of id and text. Their size in bytes is slots times the smallest of 1, 2, 4, 8, 16 ... that has
 a bit per language: a few MB, however large the corpus. Prediction covers whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text with letters
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     # the languages are literals of the filter, so only chosen texts leave the scan
     known = F.map_from_arrays(F.lit(names), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(min(1.0, per_language / n)).alias("share")) for i, (_, n) in enumerate(seen)]))
     mine = rows.select("doc_id", "text", known[F.col("lang")].alias("x"))
-    chosen = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("x.share") * (1 << 20)).select(F.col("x.i").alias("i"), "text")
+    chosen = mine.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("x.share") * (1 << 20)).select(F.col("x.i").alias("i"), "text")
 
     def run(batches):
         for batch in in_pieces(batches, 1, TEXT_BYTES):
