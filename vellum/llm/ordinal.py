@@ -7,13 +7,13 @@ probability P(grade >= wanted) selects them.
 Features are present or not: words and word beginnings, in lower case, and, for the shares of
 capitals, symbols, repeated neighbours and repeated lines, each step that the share exceeds.
 
-The model is fitted on the driver on at most about `fit_rows` rated rows, chosen by a hash of the
-id, by limited-memory BFGS from zero weights: the same rows give the same model. Scoring covers
+The model is fitted on the driver on at most about `fit_rows` rated rows, chosen by hashes of id,
+grade and text, by limited-memory BFGS from zero weights: the same rows give the same model. Scoring covers
 every row and its whole text.
 
 Defined cases: rows without a grade don't enter the fit; with no rated row at all, or with one
 grade only, every text gets this grade (the highest of `grades` if there is none); a null text is
-scored as empty; a repeated rating counts again; a document's prediction uses its text alone.
+scored as empty; a rating that repeats id and grade counts once, a repeated document again; a document's prediction uses its text alone.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum import runtime
-from vellum.llm.common import columns, in_pieces, utf8
+from vellum.llm.common import columns, fresh, in_pieces, utf8
 
 FIT_ROWS = 12_000
 BITS = 20
@@ -160,14 +160,24 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
     return Model(flat, x[k] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(x[k + 1 :], -20, 20)))]), n_grades)
 
 
+def _share(share: float, *names: str) -> Column:
+    """Whether a row is of the share of all that a hash of the columns picks."""
+    return F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int((1 << 20) * min(1.0, share))
+
+
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, fit_rows: int = FIT_ROWS) -> Model:
     """ratings(doc_id, ...): `grade` is a column over it, 0 to n_grades - 1 or null."""
     runtime.ship(docs.sparkSession)
     rated = columns(ratings, rated=ratings["doc_id"].cast("bigint"), grade=grade.cast("int")).where(f"rated is not null and grade between 0 and {n_grades - 1}")
-    # the ratings that are chosen are about fit_rows rows of two numbers, whatever the corpus
+    # about fit_rows ratings of two numbers are broadcast, whatever the corpus; where one id has
+    # many documents, a hash of id and text thins out what they bring
+    rated = rated.distinct()
     n = rated.count()
-    share = F.pmod(F.xxhash64("rated"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(n, 1)))
-    sample = columns(docs, id=docs["doc_id"].cast("bigint"), text="text").join(F.broadcast(rated.where(share)), F.col("id") == F.col("rated")).select("id", "grade", "text")
+    chosen = F.broadcast(rated.where(_share(fit_rows / max(n, 1), "rated", "grade")))
+    ids = columns(docs, id=docs["doc_id"].cast("bigint"))
+    met = ids.join(chosen, F.col("id") == F.col("rated")).count()
+    texts = columns(docs, id=docs["doc_id"].cast("bigint"), text="text")
+    sample = texts.where(_share(fit_rows / max(met, 1), "id", "text")).join(chosen, F.col("id") == F.col("rated")).select("id", "grade", "text")
 
     def run(batches):
         for batch in in_pieces(batches, 2, TEXT_BYTES):
@@ -182,8 +192,8 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, fit
     return fit([rows[i] for i in order], grades[order], n_grades)
 
 
-def scored(docs: DataFrame, model: Model, wanted: int) -> DataFrame:
-    """docs with expected_grade and tail_probability (of `wanted` or more) after its columns."""
+def scored(docs: DataFrame, model: Model, wanted: int, expected: str = "expected_grade", tail: str = "tail_probability") -> DataFrame:
+    """docs with the expected grade and the probability of `wanted` or more after its columns."""
     spark = docs.sparkSession
     runtime.ship(spark)
     known = spark.sparkContext.broadcast(model)
@@ -192,11 +202,9 @@ def scored(docs: DataFrame, model: Model, wanted: int) -> DataFrame:
     def run(batches):
         for batch in in_pieces(batches, text, TEXT_BYTES):
             tails = known.value.tails([t.decode(errors="replace") if t else "" for t in utf8(batch.column(text))])
-            yield pa.record_batch(
-                [*batch.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, wanted - 1])], names=[*batch.schema.names, "__expected", "__tail"]
-            )
+            yield pa.record_batch([*batch.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, wanted - 1])], names=[*batch.schema.names, expected, tail])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("__expected"), F.lit(0.0).alias("__tail")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(expected), F.lit(0.0).alias(tail)).schema)
 
 
 #: Grades of the labels: toxic 0, poor 1, good 2.
@@ -210,10 +218,11 @@ def grade_of(labels: DataFrame) -> Column:
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, grade_of(labels), N_GRADES)
     rows = scored(columns(docs, doc_id=docs["doc_id"].cast("bigint"), text="text"), model, 2)
-    return rows.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("p_good"), (F.col("__tail") >= 0.5).alias("kept"))
+    return rows.select("doc_id", "expected_grade", F.col("tail_probability").alias("p_good"), (F.col("tail_probability") >= 0.5).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are good with a probability of a half or more, with all their columns."""
     model = train(docs, labels, grade_of(labels), N_GRADES)
-    return scored(docs, model, 2).where("__tail >= 0.5").drop("__expected", "__tail")
+    names = fresh(docs, "expected", "tail")
+    return scored(docs, model, 2, *names).where(F.col(names[1]) >= 0.5).drop(*names)
