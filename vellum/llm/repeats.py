@@ -19,9 +19,10 @@ Copies that one batch of documents holds are settled in the batch, and only the
 so a passage that a third of all rows share brings one row per batch to its group.
 
 Defined cases: a null or empty text, or one of fewer than `window` words, has no window and
-loses nothing; rows without an id come first, in the order of their texts' hashes; rows that repeat both id and text stand at the same place, so they are treated
-alike and don't count as each other's copies; rows of one id with different texts are ordered by
-place in the text; other columns are ignored; an empty table gives no rows.
+loses nothing; rows without an id come first, in the order of their texts' hashes; rows that
+repeat both id and text stand at the same place, so they are treated alike and don't count as each
+other's copies; rows of one id with different texts are ordered by place in the text; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum import runtime
-from vellum.llm.common import columns, doc_key, in_pieces, utf8
+from vellum.llm.common import columns, doc_key, fresh, in_pieces, utf8
 
 WINDOW_WORDS = 20
 GRAM_WORDS = 8
@@ -65,6 +66,16 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
 
 
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    reach = 1
+    while reach * 2 <= width:
+        x = np.minimum(x[: len(x) - reach], x[reach:])
+        reach *= 2
+    over = width - reach
+    return np.minimum(x[: len(x) - over], x[over:])
+
+
 class Stretches:
     """The stretches of some documents: maximal runs of window starts that share an anchor."""
 
@@ -90,14 +101,10 @@ class Stretches:
         spread = window - gram + 1
         place = max(1, int(n).bit_length())
         low = (total >> np.uint64(place) << np.uint64(place)) | np.arange(len(total), dtype=np.uint64)
-        reach = 1
-        least = low
-        while reach * 2 <= spread:
-            least = np.minimum(least[: len(least) - reach], least[reach:])
-            reach *= 2
-        over = spread - reach
-        least = np.minimum(least[: len(least) - over], least[over:])
-        anchor = (least & np.uint64((1 << place) - 1)).astype(np.int64)
+        anchor = (_sliding_least(low, spread) & np.uint64((1 << place) - 1)).astype(np.int64)
+        # where the place took bits that tell two hashes apart, look again
+        for i in np.flatnonzero(total[anchor] != _sliding_least(total, spread)).tolist():
+            anchor[i] = i + int(total[i : i + spread].argmin())
         doc = np.repeat(np.arange(len(self.counts)), self.counts)[: n - window + 1]
         valid = np.arange(n - window + 1) + window <= (self.first + self.counts)[doc]
         at = np.flatnonzero(valid)
@@ -272,7 +279,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _repeated(rows: DataFrame, window: int, gram: int, most: int) -> DataFrame:
     runtime.ship(rows.sparkSession)
     anchors = rows.select("id", "key", "text").mapInArrow(lambda b: _anchor_rows(b, window, gram), _ANCHORS)
-    counted = anchors.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > 1")
+    # totals are summed on the map side and joined back, so a common anchor is no single task's
+    totals = anchors.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1")
+    counted = anchors.join(totals, "gram")
     places = F.explode(F.concat(F.array("id"), F.coalesce("more", F.array().cast("array<bigint>"))))
     asked = (
         counted.select("gram", (F.col("total") > most).alias("hot"), places.alias("id"))
@@ -346,24 +355,25 @@ def cut_documents(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_
     """docs with the repeated words cut out of `text`, the white space between kept words left as
     it is, `n_chars` (where there is one) set anew where words went; all other columns as they
     are. No row goes, even if nothing of its text is left."""
-    marks = repeated_windows(docs, window=window, gram=gram, most=most).select(F.col("id").alias("__id"), F.col("marks").alias("__marks"))
+    key_col, place_col, id_col, marks_col = fresh(docs, "key", "place", "id", "marks")
+    marks = repeated_windows(docs, window=window, gram=gram, most=most).select(F.col("id").alias(id_col), F.col("marks").alias(marks_col))
     place, key = _placed(docs, "doc_id", "text")
-    marked = docs.withColumns({"__key": key, "__place": place})
-    marked = marked.join(marks, marked["__place"] == marks["__id"], "left").drop("__id", "__place")
+    marked = docs.withColumns({key_col: key, place_col: place})
+    marked = marked.join(marks, marked[place_col] == marks[id_col], "left").drop(id_col, place_col)
     at = {f.name: i for i, f in enumerate(marked.schema)}
     text = at["text"]
 
     def run(batches):
         for batch in in_pieces(batches, text, BATCH_BYTES):
             cols = list(batch.columns)
-            keys, marks = batch.column(at["__key"]).to_pylist(), batch.column(at["__marks"]).to_pylist()
+            keys, marks = batch.column(at[key_col]).to_pylist(), batch.column(at[marks_col]).to_pylist()
             texts = utf8(batch.column(text))
             new = [t if not m else _cut(t, _starts(m, k), window, True)[0] for t, m, k in zip(texts, marks, keys)]
             cols[text] = pa.array(new, pa.binary()).cast(pa.string())
             if (n := at.get("n_chars")) is not None:
                 sizes = [x if a is b or a is None else len(a.decode(errors="replace")) for a, b, x in zip(new, texts, cols[n].to_pylist())]
                 cols[n] = pa.array(sizes, cols[n].type)
-            names = [f for f in at if f not in ("__key", "__marks")]
+            names = [f for f in at if f not in (key_col, marks_col)]
             yield pa.record_batch([cols[at[f]] for f in names], names=names)
 
     return marked.mapInArrow(run, docs.schema)
