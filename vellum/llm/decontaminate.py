@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum import runtime
-from vellum.llm.common import alnum_words, columns, doc_key, in_pieces, utf8
+from vellum.llm.common import alnum_words, columns, doc_key, fresh, in_pieces, utf8
 
 WINDOW_WORDS = 13
+#: How far a term may be off its place in a proximity match.
+SLOP = 2
 SEGMENT_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 #: A document is contaminated if a 20th of its words or more are hit.
@@ -48,8 +50,8 @@ def _planes(numbers: np.ndarray) -> bytes:
     return numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+def _unplaned(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1)[:, start:stop].T.copy().view("<i4").ravel()
 
 
 def _index_batches(batches, segment_bytes: int):
@@ -66,9 +68,13 @@ def _index_batches(batches, segment_bytes: int):
             words.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
         terms = np.concatenate(words)
         positions = np.argsort(terms, kind="stable")
+        counts = np.bincount(terms, minlength=len(ids))
+        steps = np.diff(positions, prepend=0)
+        first = np.cumsum(counts) - counts
+        steps[first] = positions[first]  # each term's list can be read on its own
         row = (
             [uuid.uuid4().hex], [batch.column(0).to_pylist()], [lengths], [b"\n".join(ids)],
-            [_planes(np.bincount(terms, minlength=len(ids)))], [_planes(np.diff(positions, prepend=0))],
+            [_planes(counts)], [_planes(steps)],
         )
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(row, arrow)], schema=arrow)
 
@@ -99,12 +105,14 @@ class Phrases:
 
 
 def _find(phrase: np.ndarray, order: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers and first positions at which all terms stand in their places, or up to
-    slop words off the place that the rarest term sets. order: the terms' places, rarest first."""
+    """Document numbers and first positions at which all terms stand in their places, or each up
+    to slop words off its own. order: the terms' places, rarest first."""
     first = order[0]
-    at = lists[phrase[first]].astype(np.int64)
+    at = lists[phrase[first]]
     doc = np.searchsorted(starts, at, "right") - 1
     at = at - first
+    if slop:
+        at, doc = (at[:, None] + np.arange(-slop, slop + 1)).ravel(), np.repeat(doc, 2 * slop + 1)
     for place in order[1:]:
         if not len(at):
             break
@@ -124,15 +132,13 @@ def _search_segment(row: dict, phrases: Phrases, slop: int) -> list[tuple]:
     starts = ends - lengths
     # documents without words hold no position; the search below sees the others only
     full = np.flatnonzero(lengths)
-    counts, positions = _unplaned(row["counts"]), np.cumsum(_unplaned(row["positions"]))
-    stops = np.cumsum(counts)
-    nothing = positions[:0]
-    lists = [nothing] * len(phrases.vocabulary)
+    counts = _unplaned(row["counts"])
+    lists = [np.zeros(0, np.int64)] * len(phrases.vocabulary)
     size = np.zeros(len(phrases.vocabulary) + 1, np.int64)
-    if len(positions):
-        for term, n, stop in zip(row["terms"].split(b"\n"), counts.tolist(), stops.tolist()):
-            if (q := phrases.vocabulary.get(term)) is not None:
-                lists[q], size[q] = positions[stop - n : stop], n
+    if len(counts):
+        for term, n, stop in zip(row["terms"].split(b"\n"), counts.tolist(), np.cumsum(counts, dtype=np.int64).tolist()):
+            if (q := phrases.vocabulary.get(term)) is not None:  # no other list is unpacked
+                lists[q], size[q] = np.cumsum(_unplaned(row["positions"], stop - n, stop), dtype=np.int64), n
     size[-1] = 1 << 62
     sizes = size[phrases.terms]
     hit = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
@@ -187,8 +193,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
 def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW_WORDS, slop: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per indexed document: its words, the word spans inside exact occurrences of a
     window of `window` consecutive item words (a shorter item is one window), the items whose
-    windows occur, and, with slop > 0, the number of windows that occur only loosely: every term
-    within slop words of its place."""
+    windows occur, and, with slop > 0, the number of windows that occur only loosely: there is a
+    place from which every term stands within slop words of its own, and none where all fit."""
     spark = index.sparkSession
     runtime.ship(spark)
     found = None
@@ -226,7 +232,7 @@ def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text
     return merged.withColumn("hits", spans).drop("segment", "doc_no")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 2, **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items, n_near and whether it is contaminated."""
     index = build_index(docs, **{k: v for k, v in options.items() if k == "segment_bytes"})
     hits = search(index, benchmark, slop=slop, **{k: v for k, v in options.items() if k in ("window", "block_bytes")})
@@ -238,9 +244,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 2, **option
 
 def op1(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return contamination(docs, benchmark).select(
+    return contamination(docs, benchmark, slop=SLOP).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(items, 256).alias("items_sha256"), "contaminated",
+        F.sha2(items, 256).alias("items_sha256"), "contaminated", "n_near",
     )
 
 
@@ -248,20 +254,30 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns. A row's text decides,
     so rows go by the text's hash: others of the same or of no id stay."""
     texts = columns(docs, doc_id=doc_key(docs["text"]), text="text")
-    bad = contamination(texts, benchmark, slop=0).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, doc_key(docs["text"]) == bad["__bad"], "left_anti")
+    (name,) = fresh(docs, "bad")
+    bad = contamination(texts, benchmark).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, doc_key(docs["text"]) == bad[name], "left_anti")
 
 
-ORACLE = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
-p AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
+_TEXT_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_TEXT_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {_TEXT_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, i, i + least(len(w), 13) - 1) AS ws, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM p),
 dw AS (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
-h AS (SELECT r, i, n, item_id FROM dw JOIN p USING (n, s)),
+h AS (SELECT r, i, n, s, item_id FROM dw JOIN p USING (n, s)),
 c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS k FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
-t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY r)
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY r),
+win AS (SELECT row_number() OVER () AS k, s, n, ws FROM (SELECT DISTINCT s, n, ws FROM p)),
+pos AS (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d),
+term AS (SELECT k, n, unnest(ws) AS word, unnest(generate_series(1, n)) AS j FROM win),
+need AS (SELECT k, count(DISTINCT word) AS m FROM term GROUP BY k),
+hold AS (SELECT r, k FROM (SELECT DISTINCT r, word FROM pos) JOIN (SELECT DISTINCT k, word FROM term) USING (word) JOIN need USING (k) GROUP BY r, k, m HAVING count(*) = m),
+loose AS (SELECT DISTINCT r, k FROM (SELECT r, k, n, i - j + e AS a FROM hold JOIN term USING (k) JOIN pos USING (r, word), (SELECT unnest([-2, -1, 0, 1, 2]) AS e) GROUP BY r, k, n, i - j + e HAVING count(DISTINCT j) = n)),
+near AS (SELECT r, count(*) AS n_near FROM loose JOIN win USING (k) ANTI JOIN h ON h.r = loose.r AND h.s = win.s GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN near USING (r)
 """
