@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import io
 from bisect import bisect_right
 from collections import Counter
 
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 
 from vellum import runtime
 from vellum.llm.common import columns, in_pieces, utf8
+from vellum.llm.repeats import _word_hashes
 
 #: (bytes from, least ratio, greatest ratio)
 BANDS = ((256, 1.15, 2.2), (512, 1.3, 2.5), (1024, 1.4, 2.8), (4096, 1.5, 3.2), (16384, 1.6, 3.6), (65536, 1.7, 4.2))
@@ -40,27 +42,93 @@ LEVEL = 3
 REPEAT_WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
 TEXT_BYTES = 4 << 20
+#: Above this length a text's windows are counted in arrays.
+LONG_BYTES = 256 << 10
 
 
 def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     if not text:
         return 0, 0, 0, 0, 0
+    symbols = sum(map(text.count, (bytes([c]) for c in SYMBOLS)))
+    if len(text) > LONG_BYTES:
+        n, chars, repeated = _long_counts(text)
+        return n, chars, symbols, _repeated_lines(io.BytesIO(text)), repeated
     words = text.split()
-    joined = b"".join(words)
-    chars = len(joined.decode(errors="replace"))
-    lines = Counter(x for x in text.split(b"\n") if x.strip())
+    chars = len(b"".join(words).decode(errors="replace"))
     repeated = 0
     if len(words) > REPEAT_WINDOW:
         windows = list(zip(*(words[i:] for i in range(REPEAT_WINDOW))))
         n = Counter(windows)
         if len(n) < len(windows):
-            until = 0
-            for i, w in enumerate(windows):
-                if n[w] > 1:
-                    repeated += i + REPEAT_WINDOW - max(i, until)
-                    until = i + REPEAT_WINDOW
-    return len(words), chars, sum(map(text.count, (bytes([c]) for c in SYMBOLS))), sum(lines.values()) - len(lines), repeated
+            repeated = _covered([i for i, w in enumerate(windows) if n[w] > 1])
+    return len(words), chars, symbols, _repeated_lines(text.split(b"\n")), repeated
+
+
+def _repeated_lines(lines) -> int:
+    seen: set[bytes] = set()
+    n = 0
+    for line in lines:
+        line = line.rstrip(b"\n")
+        if line.strip():
+            n += 1
+            seen.add(line)
+    return n - len(seen)
+
+
+def _covered(starts: list[int]) -> int:
+    """Number of words in windows that start there, in order."""
+    covered = until = 0
+    for i in starts:
+        covered += i + REPEAT_WINDOW - max(i, until)
+        until = i + REPEAT_WINDOW
+    return covered
+
+
+def _long_counts(text: bytes) -> tuple[int, int, int]:
+    """n_words, word_chars and n_repeat_words, in a few numbers per word: windows are sorted by a
+    hash, and those of equal hashes are compared by their words."""
+    raw = np.frombuffer(text, np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    chars = int(np.count_nonzero(~space & ((raw & 0xC0) != 0x80)))
+    kept = ~space
+    kept[1:] |= space[1:] & ~space[:-1]  # one space after each word
+    kept[0] &= not space[0]
+    line = raw[kept]
+    line = np.where(space[kept], np.uint8(32), line)
+    if not len(line):
+        return 0, 0, 0
+    if line[-1] != 32:
+        line = np.append(line, np.uint8(32))
+    ends = np.flatnonzero(line == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = len(ends) - REPEAT_WINDOW + 1
+    if n < 2:
+        return len(ends), chars, 0
+    hashes = np.empty(len(ends), np.uint64)
+    for i in range(0, len(ends), 1 << 16):
+        first, last = starts[i : i + (1 << 16)], ends[i : i + (1 << 16)]
+        hashes[i : i + (1 << 16)] = _word_hashes(line[first[0] : last[-1] + 1], first - first[0], last - first[0])
+    windows = np.zeros(n, np.uint64)
+    for j in range(REPEAT_WINDOW):
+        windows = windows * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n + j]
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    new = np.concatenate([[True], ~same])[met]
+    data, found, seen = line.tobytes(), [], {}
+    for i, first in zip(order[met].tolist(), new.tolist()):
+        if first:
+            seen = {}
+        words = data[starts[i] : ends[i + REPEAT_WINDOW - 1]]
+        if words not in seen:
+            seen[words] = i
+            continue
+        if seen[words] is not None:
+            found.append(seen[words])
+            seen[words] = None
+        found.append(i)
+    return len(ends), chars, _covered(sorted(found))
 
 
 def _prior() -> np.ndarray:
