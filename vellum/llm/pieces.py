@@ -15,7 +15,7 @@ smallest steps are enough, and the same search runs over their ranked lists.
 
 The scores of a merge (BPE) model are the ranks of its merges, not logarithms of probabilities. Its
 library applies merges in order and ignores them, so a text's best segmentation here mostly isn't
-the library's. The library's ids are returned beside the n best; these are what the model's own
+the library's. `Lattice.library` gives the library's ids, and `segmented` returns them beside; these are what the model's own
 tokenizer gives, and what a trainer of such a model should take.
 
 Text is encoded with one space put before it, spaces as the mark. The mark itself in a text is
@@ -53,8 +53,7 @@ REMEMBERED_CHARS = 40
 REMEMBERED_LISTS = 50_000
 _UNIT = re.compile(" *[^ \n]+| +|\n")
 NOTHING = float("-inf")
-_SCORE, _IDS, _STEP, _LIBRARY = map(itemgetter, range(4))
-_NODE = (b"", 0.0)
+_SCORE, _IDS, _STEP = map(itemgetter, range(3))
 
 
 class Lattice:
@@ -79,9 +78,16 @@ class Lattice:
             raise ValueError("units need a model with byte pieces and without pieces that go on after a space")
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - UNKNOWN
-        #: Every piece as (ids, score), and every other start of a piece as (b"", 0).
-        self.nodes = {p[:i]: _NODE for p in self.pieces for i in range(1, len(p))} | self.pieces
+        #: By letter: (the same of the next letter, ids, score) of what was spelled so far; no piece has no ids.
+        self.trie: dict = {}
+        for piece, (ids, score) in self.pieces.items():
+            children = self.trie
+            for letter in piece[:-1]:
+                children = children.setdefault(letter, ({}, b"", 0.0))[0]
+            children[piece[-1]] = (children.get(piece[-1], ({},))[0], ids, score)
         self.encode_ids = model.encode
+        #: The library's ids of units.
+        self.merges: dict[str, bytes] = {}
         #: Remembered units, in two generations, and their ranked lists.
         self.lists: dict[tuple[str, int], list] = {}
         self.known: dict[str, tuple] = {}
@@ -90,28 +96,29 @@ class Lattice:
     def lattice(self, unit: str) -> tuple[list[float], list | None]:
         """The forward pass: the best score of each prefix, and for a short unit the edges into each
         place. Those of a long one aren't kept; they are looked up again where the search comes."""
-        n, get = len(unit), self.nodes.get
+        n, root, pieces, longest = len(unit), self.trie, self.pieces, self.longest
         best = [NOTHING] * (n + 1)
         best[0] = 0.0
         into = [[] for _ in best] if n <= REMEMBERED_CHARS else None
         for start in range(n):
-            here = best[start]
-            for end in range(start + 1, n + 1):
-                got = get(unit[start:end])
-                if got is None and end > start + 1:
-                    break
-                if got is not None and got[0]:
-                    ids, score = got
-                elif end == start + 1:
-                    ids, score = self.spelled(unit[start])
-                else:
-                    continue
-                if here + score > best[end]:
-                    best[end] = here + score
-                if into is not None:
-                    into[end].append((here + score, start, score, ids))
+            here, end, children = best[start], start, root
+            if unit[start] not in pieces:
+                ids, score = self.spelled(unit[start])
+                best[start + 1] = max(best[start + 1], here + score)
+                if into:
+                    into[start + 1].append((here + score, start, score, ids))
+            for letter in unit[start : start + longest]:
+                got = children.get(letter)
                 if got is None:
                     break
+                end += 1
+                children, ids, score = got
+                if ids:
+                    through = here + score
+                    if through > best[end]:
+                        best[end] = through
+                    if into:
+                        into[end].append((through, start, score, ids))
         return best, into
 
     def spelled(self, letter: str) -> tuple[bytes, float]:
@@ -162,35 +169,32 @@ class Lattice:
                     insort(queue, (rank, number, start, own + score, (ids, suffix)))
         return found
 
-    def merged(self, unit: str) -> bytes:
-        """The library's own ids of a unit: it applies merges in order, and none crosses units.
-        The line feed before it keeps the library from putting a space there."""
-        ids = self.encode_ids("\n" + unit)
-        return pack(f"<{len(ids) - 2}i", *ids[2:])
-
     def library(self, text: str) -> bytes:
-        """The 32-bit ids that the library gives the whole text."""
-        return b"".join(map(_LIBRARY, self.firsts(self.units(text))))
-
-    def firsts(self, units: list[str]) -> list[tuple]:
-        """What is remembered of each unit."""
-        found = list(map(self.known.get, units))
-        if None in found:
-            found = [x or self.remembered(u) for x, u in zip(found, units)]
-        return found
+        """The 32-bit ids that the library gives the whole text: it applies merges in order, and
+        none crosses units. The line feed before a unit keeps it from putting a space there."""
+        units = self.units(text)
+        if new := [u for u in dict.fromkeys(units) if u not in self.merges]:
+            if len(self.merges) + len(new) > REMEMBERED:
+                self.merges.clear()
+                new = list(dict.fromkeys(units))
+            self.merges.update((u, pack(f"<{len(x) - 2}i", *x[2:])) for u, x in zip(new, self.encode_ids(["\n" + u for u in new], num_threads=1)))
+        ids = b"".join(map(self.merges.__getitem__, units))
+        for u in new:
+            if len(u) > REMEMBERED_CHARS:
+                del self.merges[u]
+        return ids
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(" " + text) if text else []
 
-    def remembered(self, unit: str) -> tuple[float, bytes, float, bytes]:
-        """Score and ids of a unit's best segmentation, the step down to the next one, and the
-        library's ids."""
+    def remembered(self, unit: str) -> tuple[float, bytes, float]:
+        """Score and ids of a unit's best segmentation, and the step down to the next one."""
         got = self.known.get(unit)
         if got is None:
             got = self.older.get(unit)
             if got is None:
                 found = self.n_best(unit, 2)
-                got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING, self.merged(unit))
+                got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING)
             if len(self.known) >= REMEMBERED:  # what was met since the last change stays
                 self.known, self.older = {}, self.known
             if len(unit) <= REMEMBERED_CHARS:
@@ -210,9 +214,9 @@ class Lattice:
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of the whole text as (score, 32-bit ids), best first."""
         units = self.units(text)
-        return self.ranked_whole(units, self.firsts(units), n)
-
-    def ranked_whole(self, units: list[str], firsts: list[tuple], n: int) -> list[tuple[float, bytes]]:
+        firsts = list(map(self.known.get, units))
+        if None in firsts:
+            firsts = [x or self.remembered(u) for x, u in zip(firsts, units)]
         ids = list(map(_IDS, firsts))
         found = [(sum(map(_SCORE, firsts)), b"".join(ids))]
         if n == 1 or not units:
@@ -292,11 +296,10 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
 
 def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = False) -> DataFrame:
     """Per row of docs: n_pieces, the scores of the n best, the digest of the best ids, whether they
-    decode to the text, and number and digest of the library's ids; with keep_ids the ids of both.
-    Encoding and decoding run in one pass, so ids needn't travel."""
+    decode to the text; with keep_ids the best ids themselves and the library's. Encoding and decoding run in one pass, so ids needn't travel."""
     runtime.ship(docs.sparkSession)
-    fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_best", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids_sha256", pa.string()), ("round_trip", pa.bool_()), ("n_library", pa.int64()), ("library_sha256", pa.string())]
-    schema = "doc_id bigint, n_pieces bigint, n_best bigint, scores array<double>, ids_sha256 string, round_trip boolean, n_library bigint, library_sha256 string"
+    fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_best", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]
+    schema = "doc_id bigint, n_pieces bigint, n_best bigint, scores array<double>, ids_sha256 string, round_trip boolean"
     arrow = pa.schema([*fields, *[("ids", pa.binary()), ("library_ids", pa.binary())] * keep_ids])
 
     def run(batches):
@@ -305,12 +308,10 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = Fals
             rows = []
             for id_, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 text = raw.decode(errors="replace") if raw else ""
-                units = lattice.units(text)
-                firsts = lattice.firsts(units)
-                best = lattice.ranked_whole(units, firsts, n)
-                ids, library = best[0][1], b"".join(map(_LIBRARY, firsts))
-                digests = [hashlib.sha256(x).hexdigest() for x in (ids, library)]
-                rows.append((id_, len(ids) // 4, len(best), [s for s, _ in best], digests[0], lattice.decode(ids) == text, len(library) // 4, digests[1], *[ids, library] * keep_ids))
+                best = lattice.encode(text, n)
+                ids = best[0][1]
+                whole = [ids, lattice.library(text)] if keep_ids else []
+                rows.append((id_, len(ids) // 4, len(best), [s for s, _ in best], hashlib.sha256(ids).hexdigest(), lattice.decode(ids) == text, *whole))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     return columns(docs, doc_id=docs["doc_id"].cast("bigint"), text="text").mapInArrow(run, schema + ", ids binary, library_ids binary" * keep_ids)
@@ -320,4 +321,4 @@ def op4(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     rows = segmented(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return rows.select("doc_id", "n_pieces", "n_best", F.element_at("scores", 1).alias("score"), (F.col("scores")[0] - F.element_at("scores", -1)).alias("spread"), "ids_sha256", "round_trip", "n_library", "library_sha256")
+    return rows.select("doc_id", "n_pieces", "n_best", F.element_at("scores", 1).alias("score"), (F.col("scores")[0] - F.element_at("scores", -1)).alias("spread"), "ids_sha256", "round_trip")
