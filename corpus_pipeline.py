@@ -45,7 +45,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     rows = pieces.segmented(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
     spread = F.col("scores")[0] - F.element_at("scores", -1)
-    return rows.select("doc_id", "n_library", F.col("library_ids").alias("ids"), "n_pieces", F.element_at("scores", 1).alias("score"), spread.alias("spread"), "round_trip", F.col("ids").alias("best_ids"))
+    return rows.select("doc_id", F.expr("octet_length(library_ids) div 4").alias("n_ids"), F.col("library_ids").alias("ids"), "n_pieces", F.element_at("scores", 1).alias("score"), spread.alias("spread"), "round_trip", F.col("ids").alias("best_ids"))
 
 
 STAGES = [
