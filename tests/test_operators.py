@@ -339,10 +339,27 @@ def test_streams(spark, tmp_path):
 
 
 def test_side_noise_is_cut(spark):
-    rows = [(1, i, 10.0, 200.0) for i in range(9)] + [(1, 9, 10.0, 400.0)]
-    boxes = spark.createDataFrame(rows, "page_id bigint, box_id int, x0 double, x1 double")
-    got = {r.box_id: (r.n0, r.n1) for r in geometry.side_noise(boxes).collect()}
-    assert got[0] == (10, 200) and got[9] == (10, 300)
+    schema = "page_id bigint, box_id int, x0 double, x1 double"
+    rows = [(1, i, 400.0, 420.0) for i in range(9)] + [(1, 9, 10.0, 420.0)]
+    got = {r.box_id: (r.n0, r.n1) for r in geometry.side_noise(spark.createDataFrame(rows, schema)).collect()}
+    cut = (10 + (9 * 400 + 10 * 420) / 19) / 2  # one of 20 midpoints is on the left
+    assert got[0] == (400, 420) and math.isclose(got[9][0], cut) and got[9][1] == 420
+    halves = [(1, 0, 0.0, 1000.0)] + [(1, i, 100.0, 1000.0) for i in range(1, 10)]
+    assert {(r.n0, r.n1) for r in geometry.side_noise(spark.createDataFrame(halves, schema)).collect()} == {(0, 1000), (100, 1000)}
+
+
+def test_far_points_have_neighbours(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 4.0), (1, 2, 60.0, 0.0), (1, 3, 5000.0, 0.0), (2, 0, 1.0, 1.0)], "page_id bigint, comp_id int, cx double, cy double")
+    got = {(r.page_id, r.comp_id): (r.other, r.distance) for r in components.nearest(points, 6.0).collect()}
+    assert got == {(1, 0): (1, 5), (1, 1): (0, 5), (1, 2): (1, math.hypot(57, 4)), (1, 3): (2, 4940)}
+    cells = lambda *c: spark.createDataFrame([(p, y, x) for p, y, x in c], "page_id bigint, y int, x int")
+    far = metrics.chamfer(cells((1, 0, 0), (2, 0, 0)), cells((1, 0, 40), (3, 1, 1)), 3.0, 50.0)
+    assert {r.page_id: r.chamfer for r in far.collect()} == {1: 40, 2: 50, 3: 50}
+
+
+def test_classes_go_on_without_gaps(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 0, 5), (1, 1, 1, 5), (2, 0, 0, 1)], "page_id bigint, y int, x int, class_id int")
+    assert sorted((r.page_id, r.y, r.class_id) for r in seams.consecutive(cells).collect()) == [(1, 0, 1), (1, 1, 2), (1, 1, 2), (2, 0, 1)]
 
 
 def test_local_warp_straightens_a_slope(spark):

@@ -93,16 +93,39 @@ def block_centres(cells: DataFrame, width: Column) -> DataFrame:
     return cells.withColumn("block", block).groupBy("page_id", "comp_id", "block").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n"))
 
 
-def nearest(points: DataFrame, reach: float) -> DataFrame:
-    """points(page_id, comp_id, cx, cy): the nearest other point within `reach`, first id on a
-    tie. Points meet in the 3x3 grid squares around them, each of the side of the reach."""
+def _within(mine: DataFrame, theirs: DataFrame, reach: float) -> DataFrame:
+    """mine(page_id, id, cx, cy), theirs(page_id, other, ox, oy): the nearest other within `reach`.
+    Points meet in the 3x3 grid squares around them, each of the side of the reach."""
     square = lambda c: F.floor(F.col(c) / reach)
     around = F.explode(F.array(*[F.struct((square("cx") + dx).alias("gx"), (square("cy") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    mine = points.select("page_id", "comp_id", "cx", "cy", around.alias("g")).select("page_id", "comp_id", "cx", "cy", "g.gx", "g.gy")
-    theirs = points.select("page_id", F.col("comp_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), square("cx").alias("gx"), square("cy").alias("gy"))
+    near = mine.select("page_id", "id", "cx", "cy", around.alias("g")).select("page_id", "id", "cx", "cy", "g.gx", "g.gy")
+    there = theirs.select("*", square("ox").alias("gx"), square("oy").alias("gy"))
+    return _least(near.join(there, ["page_id", "gx", "gy"])).where(F.col("distance") <= reach)
+
+
+def _least(pairs: DataFrame) -> DataFrame:
     d = F.sqrt(F.pow(F.col("cx") - F.col("ox"), F.lit(2.0)) + F.pow(F.col("cy") - F.col("oy"), F.lit(2.0)))
-    pairs = mine.join(theirs, ["page_id", "gx", "gy"]).where("comp_id <> other").withColumn("d", d).where(F.col("d") <= reach)
-    return pairs.groupBy("page_id", "comp_id").agg(F.min(F.struct("d", "other")).alias("m")).select("page_id", "comp_id", F.col("m.other").alias("other"), F.col("m.d").alias("distance"))
+    pairs = pairs.where(F.col("id") != F.col("other")).withColumn("d", d)
+    return pairs.groupBy("page_id", "id").agg(F.min(F.struct("d", "other")).alias("m")).select("page_id", "id", F.col("m.other").alias("other"), F.col("m.d").alias("distance"))
+
+
+def nearest_of(mine: DataFrame, theirs: DataFrame, reach: float) -> DataFrame:
+    """mine(page_id, id, cx, cy), theirs(page_id, other, ox, oy): (page_id, id, other, distance) of
+    the nearest other of the page, of another id, however far; the first other on a tie. `reach` is
+    where most are expected: those without a neighbour there look in squares of eight times the
+    side, and the few still alone among all of their page."""
+    first = _within(mine, theirs, reach)
+    left = mine.join(first, ["page_id", "id"], "left_anti")
+    second = _within(left, theirs, 8 * reach)
+    alone = left.join(second, ["page_id", "id"], "left_anti")
+    return first.unionAll(second).unionAll(_least(alone.join(theirs, "page_id")))
+
+
+def nearest(points: DataFrame, reach: float) -> DataFrame:
+    """points(page_id, comp_id, cx, cy): (page_id, comp_id, other, distance) of each point's nearest
+    other one; a page's only point has none."""
+    found = nearest_of(points.select("page_id", F.col("comp_id").alias("id"), "cx", "cy"), points.select("page_id", F.col("comp_id").alias("other"), F.col("cx").alias("ox"), F.col("cy").alias("oy")), reach)
+    return found.withColumnRenamed("id", "comp_id")
 
 
 def between_class_threshold(values: DataFrame, value: str = "distance") -> DataFrame:
@@ -130,20 +153,26 @@ def otsu(cells: DataFrame, value: str, levels: int = 256) -> DataFrame:
 
 
 
-def character_height_bins(found: DataFrame, least: int = 4) -> DataFrame:
-    """Heights above `least` in a tenth as many even bins as there are components, without the
-    first bin: the centre of the fullest bin, the first on a tie. Pages of fewer than 10 such
-    components, or of one height, have their mean."""
-    high = found.where(F.col("h") > least)
+def _binned(found: DataFrame) -> DataFrame:
+    """(page_id, ah): heights in a tenth as many even bins as there are, without the first bin: the
+    centre of the fullest, the first on a tie. Pages of one bin or one height don't appear."""
     page = by("page_id")
-    sized = high.withColumns({"n": F.count("*").over(page), "a": F.min("h").over(page), "b": F.max("h").over(page), "mean": F.avg("h").over(page)})
+    sized = found.withColumns({"n": F.count("*").over(page), "a": F.min("h").over(page), "b": F.max("h").over(page)})
     bins = F.floor(F.col("n") / 10)
     width = (F.col("b") - F.col("a")) / bins
     number = F.least(bins - 1, F.floor((F.col("h") - F.col("a")) / width)).cast("int")
     even = (bins >= 2) & (F.col("b") > F.col("a"))
     counted = sized.where(even).withColumns({"k": number, "w": width}).where("k > 0").groupBy("page_id", "k", "a", "w").agg(F.count("*").alias("c"))
-    best = counted.groupBy("page_id").agg(F.max_by(F.col("a") + (F.col("k") + 0.5) * F.col("w"), F.struct(F.col("c"), -F.col("k"))).alias("ah"))
-    return sized.groupBy("page_id").agg(F.first("mean").alias("mean")).join(best, "page_id", "left").select("page_id", F.coalesce("ah", "mean").alias("ah"))
+    return counted.groupBy("page_id").agg(F.max_by(F.col("a") + (F.col("k") + 0.5) * F.col("w"), F.struct(F.col("c"), -F.col("k"))).alias("ah"))
+
+
+def character_height_bins(found: DataFrame, least: int = 4) -> DataFrame:
+    """The height at the fullest bin of heights above `least`; where these fill one bin only, of all
+    heights. Pages of under 20 components (the rule has no second bin there) or of one height have
+    the mean of all heights."""
+    high, every = _binned(found.where(F.col("h") > least)), _binned(found).withColumnRenamed("ah", "every")
+    mean = found.groupBy("page_id").agg(F.avg("h").alias("mean"))
+    return mean.join(high, "page_id", "left").join(every, "page_id", "left").select("page_id", F.coalesce("ah", "every", "mean").alias("ah"))
 
 
 def without_small(cells: DataFrame, least: int) -> DataFrame:

@@ -242,25 +242,24 @@ def top_by_share(ink: DataFrame, share: float, *keys: str) -> DataFrame:
     return ink.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.percentile("y", F.lit(1 - share)).alias("y0"), F.max("y").cast("double").alias("y1"), F.count("*").alias("n"))
 
 
-def side_noise(boxes: DataFrame, low: float = 0.05, high: float = 0.35) -> DataFrame:
+def side_noise(boxes: DataFrame, low: float = 0.05, high: float = 0.35, least: float = 3.0) -> DataFrame:
     """boxes(page_id, box_id, x0, x1, ...): the cut at a page's side, if text of a neighbour page
-    shows there. Midpoints of left and right sides form two clusters each; a small one of a share
-    from low to high, farther off than the mean deviation, is cut off at the mid of the centres.
-    Returns the boxes with n0, n1, emptied ones dropped."""
-    out = boxes.withColumns({"n0": F.col("x0"), "n1": F.col("x1")})
-    for side, name in (("x0", "n0"), ("x1", "n1")):
-        means = two_means(boxes, side, "page_id")
-        near = F.least(F.abs(F.col(side) - F.col("low")), F.abs(F.col(side) - F.col("high")))
-        spread = boxes.join(means, "page_id").groupBy("page_id").agg(F.avg(near).alias("spread"))
-        n = F.col("n_low") + F.col("n_high")
-        small = F.least("n_low", "n_high") / n
-        found = means.join(spread, "page_id").where((small >= low) & (small <= high) & (F.col("high") - F.col("low") > F.col("spread")))
-        cut = found.select("page_id", ((F.col("low") + F.col("high")) / 2).alias("cut"), (F.col("n_low") < F.col("n_high")).alias("left"))
-        out = out.join(cut, "page_id", "left")
-        out = out.withColumns({
-            "n0": F.when(F.col("left"), F.greatest("n0", "cut")).otherwise(F.col("n0")), "n1": F.when(~F.col("left"), F.least("n1", "cut")).otherwise(F.col("n1")),
-        }).drop("cut", "left")
-    return out.where(F.col("n1") - F.col("n0") >= 3)
+    shows there. Left and right midpoints of all boxes form two clusters; where the smaller one's
+    share is from low to high and the centres are farther apart than points are from theirs on
+    average, every box is cut at the mid of the centres, on the smaller cluster's side. A box that
+    the cut doesn't cross, or that would keep under `least` columns, stays as it is. Returns all
+    boxes with n0, n1."""
+    sides = boxes.select("page_id", F.explode(F.array("x0", "x1")).alias("x"))
+    means = two_means(sides, "x", "page_id")
+    near = F.least(F.abs(F.col("x") - F.col("low")), F.abs(F.col("x") - F.col("high")))
+    spread = sides.join(means, "page_id").groupBy("page_id").agg(F.avg(near).alias("spread"))
+    small = F.least("n_low", "n_high") / (F.col("n_low") + F.col("n_high"))
+    found = means.join(spread, "page_id").where((small >= low) & (small <= high) & (F.col("high") - F.col("low") > F.col("spread")))
+    cuts = found.select("page_id", ((F.col("low") + F.col("high")) / 2).alias("cut"), (F.col("n_low") < F.col("n_high")).alias("left"))
+    crossed = (F.col("x0") < F.col("cut")) & (F.col("cut") < F.col("x1"))
+    n0 = F.when(crossed & F.col("left") & (F.col("x1") - F.col("cut") >= least), F.col("cut")).otherwise(F.col("x0"))
+    n1 = F.when(crossed & ~F.col("left") & (F.col("cut") - F.col("x0") >= least), F.col("cut")).otherwise(F.col("x1"))
+    return boxes.join(cuts, "page_id", "left").withColumns({"n0": n0, "n1": n1}).drop("cut", "left")
 
 
 def straddling(boxes: DataFrame, width: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.numeric import hmean, ratio
+from vellum.operators.components import nearest_of
 
 
 def micro(counts: DataFrame, *keys: str) -> DataFrame:
@@ -51,15 +52,26 @@ def mask_overlap(cells: DataFrame, a: Column, b: Column, *keys: str, empty: floa
 
 def best_shift(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     """a, b(page_id, y, x): the shift of a within +-most that overlaps b most, first in the order
-    of dy, dx. Equal offsets are counted by join, never cell by cell: b's cells meet those of a
-    within reach, in one page."""
-    pairs = a.select("page_id", F.col("y").alias("ay"), F.col("x").alias("ax")).join(b, "page_id")
-    near = pairs.where((F.abs(F.col("y") - F.col("ay")) <= most) & (F.abs(F.col("x") - F.col("ax")) <= most))
-    votes = near.groupBy("page_id", (F.col("y") - F.col("ay")).alias("dy"), (F.col("x") - F.col("ax")).alias("dx")).agg(F.count("*").alias("n"))
+    of dy, dx. A row of a page is one array; rows meet where their distance is within `most`, and
+    their columns likewise, so cells far apart never meet."""
+    rows = lambda d, y, xs: d.groupBy("page_id", F.col("y").alias(y)).agg(F.collect_list("x").alias(xs))
+    shifted = rows(a, "ay", "axs").withColumn("dy", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("by", F.col("ay") + F.col("dy"))
+    met = shifted.join(rows(b, "by", "bxs"), ["page_id", "by"])
+    offsets = F.explode(F.flatten(F.transform("axs", lambda x: F.transform(F.filter("bxs", lambda z: F.abs(z - x) <= most), lambda z: z - x))))
+    votes = met.select("page_id", "dy", offsets.alias("dx")).groupBy("page_id", "dy", "dx").agg(F.count("*").alias("n"))
     best = F.max_by(F.struct("dy", "dx", "n"), F.struct(F.col("n"), -F.col("dy"), -F.col("dx"))).alias("s")
     return votes.groupBy("page_id").agg(best).select("page_id", "s.dy", "s.dx", "s.n")
 
 
+def best_shift_scores(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """The greatest IoU and the greatest Dice of a shifted within +-most and b. Cells that leave the
+    picture are still counted: the pictures are taken as padded."""
+    best = best_shift(a, b, most).select("page_id", "n")
+    size = lambda d, c: d.groupBy("page_id").agg(F.count("*").alias(c))
+    both = best.join(size(a, "p"), "page_id").join(size(b, "q"), "page_id")
+    return both.select("page_id", (F.col("n") / (F.col("p") + F.col("q") - F.col("n"))).alias("iou"), (2 * F.col("n") / (F.col("p") + F.col("q"))).alias("dice"))
+
+
 def centerline_error(a: DataFrame, b: DataFrame, least: int = 5) -> DataFrame:
     """a, b(page_id, x, y): mean ink row per column; mean absolute error and population deviation
     over shared columns, for pages with `least` of them."""
@@ -100,22 +112,18 @@ def improvements(before: DataFrame, after: DataFrame, errors: list[str], *keys:
 
 
 
-def chamfer(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
-    """a, b(page_id, y, x): mean distance of each point to the nearest of the other side, both
-    ways averaged. Points meet in grid squares of side `reach`; a point with none nearer than that
-    counts as `reach`."""
-    square = lambda c: F.floor(F.col(c) / reach)
-    around = F.explode(F.array(*[F.struct((square("y") + i).alias("gy"), (square("x") + j).alias("gx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-
-    def one_way(p, q):
-        mine = p.select("page_id", "y", "x", around.alias("g")).select("page_id", "y", "x", "g.gy", "g.gx")
-        theirs = q.select("page_id", square("y").alias("gy"), square("x").alias("gx"), F.col("y").alias("v"), F.col("x").alias("u"))
-        d = F.sqrt((F.col("y") - F.col("v")) * (F.col("y") - F.col("v")) + (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")))
-        near = mine.join(theirs, ["page_id", "gy", "gx"], "left").groupBy("page_id", "y", "x").agg(F.least(F.lit(float(reach)), F.coalesce(F.min(d), F.lit(float(reach)))).alias("d"))
-        return near.groupBy("page_id").agg(F.avg("d").alias("d"))
-
-    there, back = one_way(a, b).withColumnRenamed("d", "there"), one_way(b, a).withColumnRenamed("d", "back")
-    return there.join(back, "page_id", "full").select("page_id", ((F.coalesce("there", F.lit(float(reach))) + F.coalesce("back", F.lit(float(reach)))) / 2).alias("chamfer"))
+def chamfer(a: DataFrame, b: DataFrame, reach: float, side: float) -> DataFrame:
+    """a, b(page_id, y, x): mean distance of each point to the nearest of the other side, both ways
+    averaged, however far; `side` (the page's longer one) where one side has no point. Pages
+    without any point don't appear. `reach` is where most neighbours are expected."""
+    point = F.col("y").cast("bigint") * (1 << 32) + F.col("x")
+    mine = lambda p: p.select("page_id", point.alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    # the other side's numbers are negative, as a place doesn't shut out itself
+    theirs = lambda q: q.select("page_id", (-1 - point).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    mean = lambda p, q, name: nearest_of(mine(p), theirs(q), reach).groupBy("page_id").agg(F.avg("distance").alias(name))
+    pages = a.select("page_id").unionAll(b.select("page_id")).distinct()
+    both = pages.join(mean(a, b, "there"), "page_id", "left").join(mean(b, a, "back"), "page_id", "left")
+    return both.select("page_id", F.coalesce((F.col("there") + F.col("back")) / 2, F.lit(float(side))).alias("chamfer"))
 
 
 def chamfer_score(distance: Column, diagonal: float) -> Column:

@@ -62,11 +62,12 @@ def shrink(found: DataFrame, share: float = 0.5) -> DataFrame:
     return found.select("page_id", start.alias("y0"), (start + kept - 1).alias("y1"))
 
 
-def seam_starts(found: DataFrame) -> DataFrame:
-    """(page_id, seam_id, y): the row midway between a region and the one before."""
+def seam_starts(found: DataFrame, floor: bool = False) -> DataFrame:
+    """(page_id, seam_id, y): the row midway between a region and the one before, halves to even,
+    or with `floor` down."""
     order = by_page().orderBy("y0")
     between = found.withColumn("before", F.lag("y1").over(order)).where("before is not null")
-    return between.select("page_id", F.row_number().over(order).alias("seam_id"), half_even((F.col("y0") + F.col("before")) / 2).alias("y"))
+    return between.select("page_id", F.row_number().over(order).alias("seam_id"), (F.floor((F.col("y0") + F.col("before")) / 2).cast("int") if floor else half_even((F.col("y0") + F.col("before")) / 2)).alias("y"))
 
 
 def word_spans(columns: DataFrame, gap: int = 6, least: int = 3) -> DataFrame:

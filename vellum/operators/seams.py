@@ -133,6 +133,13 @@ def classes(ink: DataFrame, found: DataFrame) -> DataFrame:
     return ink.join(columns, ["page_id", "x"], "left").withColumn("class_id", F.when(F.col("ys").isNull(), 1).otherwise(1 + above)).drop("ys")
 
 
+def consecutive(cells: DataFrame) -> DataFrame:
+    """cells(page_id, ..., class_id) with classes numbered on without gaps: an empty band is no line."""
+    order = Window.partitionBy("page_id").orderBy("class_id")
+    numbers = cells.select("page_id", "class_id").distinct().withColumn("number", F.row_number().over(order))
+    return cells.join(numbers, ["page_id", "class_id"]).withColumn("class_id", F.col("number")).drop("number")
+
+
 def between(ink: DataFrame, found: DataFrame) -> DataFrame:
     """As classes, but cells on a seam go with no line."""
     columns = found.groupBy("page_id", "x").agg(F.collect_list("y").alias("ys"))

@@ -100,6 +100,11 @@ def seam_starts(docs):
     return profile.seam_starts(z_regions(docs))
 
 
+@query(f"WITH {ZREGION}, b AS (SELECT page_id, y0, lag(y1) OVER (PARTITION BY page_id ORDER BY y0) AS p FROM reg) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y0) AS INTEGER) AS seam_id, CAST(floor((y0 + p) / 2) AS INTEGER) AS y FROM b WHERE p IS NOT NULL")
+def seam_starts_floor(docs):
+    return profile.seam_starts(z_regions(docs), floor=True)
+
+
 @query(
     f"""WITH {PAGE_LINE}, c AS (SELECT page_id, y AS line, CAST(unnest(generate_series(0, length(line) - 1)) AS INTEGER) AS x, unnest(string_split(line, '')) AS ch FROM page_line WHERE line <> ''),
 n AS (SELECT page_id, line, x, CASE WHEN x - lag(x) OVER (PARTITION BY page_id, line ORDER BY x) <= 1 THEN 0 ELSE 1 END AS n FROM c WHERE ch <> ' '),
@@ -197,7 +202,9 @@ def block_centers(vecs):
 
 
 _CENTRES = f"""{WORD}, pts AS (SELECT page_id, y * 100000 + x AS comp_id, x + w / 2 AS cx, CAST(8 * y AS DOUBLE) AS cy FROM word),
-near AS (SELECT a.page_id, a.comp_id, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))) AS distance FROM pts a JOIN pts b ON a.page_id = b.page_id AND a.comp_id <> b.comp_id AND abs(a.cx - b.cx) <= 12 AND abs(a.cy - b.cy) <= 12 GROUP BY 1, 2)"""
+near0 AS (SELECT a.page_id, a.comp_id, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))) AS distance FROM pts a JOIN pts b ON a.page_id = b.page_id AND a.comp_id <> b.comp_id AND abs(a.cx - b.cx) <= 12 AND abs(a.cy - b.cy) <= 12 GROUP BY 1, 2),
+far AS (SELECT a.page_id, a.comp_id, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))) AS distance FROM (SELECT * FROM pts ANTI JOIN (SELECT page_id, comp_id FROM near0 WHERE distance <= 12) USING (page_id, comp_id)) a JOIN pts b ON a.page_id = b.page_id AND a.comp_id <> b.comp_id GROUP BY 1, 2),
+near AS (SELECT * FROM near0 WHERE distance <= 12 UNION ALL SELECT * FROM far)"""
 
 
 def _nearest(docs):
@@ -205,13 +212,13 @@ def _nearest(docs):
     return components.nearest(points, 12.0)
 
 
-@query(f"WITH {_CENTRES} SELECT page_id, comp_id, round(distance, 6) AS distance FROM near WHERE distance <= 12")
+@query(f"WITH {_CENTRES} SELECT page_id, comp_id, round(distance, 6) AS distance FROM near")
 def nearest_component(docs):
     return _nearest(docs).select("page_id", "comp_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
-    f"""WITH {_CENTRES}, v AS (SELECT page_id, round(distance, 3) AS t FROM near WHERE distance <= 12), s AS (SELECT page_id, t, count(*) AS n FROM v GROUP BY 1, 2),
+    f"""WITH {_CENTRES}, v AS (SELECT page_id, round(distance, 3) AS t FROM near), s AS (SELECT page_id, t, count(*) AS n FROM v GROUP BY 1, 2),
 c AS (SELECT page_id, t, sum(n) OVER w AS n1, sum(n * t) OVER w AS s1, sum(n) OVER (PARTITION BY page_id) AS a, sum(n * t) OVER (PARTITION BY page_id) AS s FROM s WINDOW w AS (PARTITION BY page_id ORDER BY t)),
 d AS (SELECT page_id, t, round(n1 / a * (a - n1) / a * pow(s1 / n1 - (s - s1) / (a - n1), 2), 9) AS k FROM c WHERE a > n1),
 b AS (SELECT page_id, arg_min(t, (-k, t)) AS t FROM d GROUP BY 1), m AS (SELECT page_id, median(t) AS m FROM v GROUP BY 1)
@@ -507,22 +514,30 @@ def top_share_boxes(vecs):
     return found.withColumn("y0", F.round("y0", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BOX}, v AS (SELECT page_id, x0 AS v FROM box UNION ALL SELECT page_id, x1 FROM box), s AS (SELECT page_id, 0 AS k, min(v) AS a, max(v) AS b, false AS done FROM v GROUP BY 1
+UNION ALL SELECT page_id, k + 1, na, nb, abs(na - a) <= 1e-3 AND abs(nb - b) <= 1e-3 FROM (
+  SELECT s.page_id, k, a, b, coalesce(avg(v) FILTER (abs(v - a) <= abs(v - b)), a) AS na, coalesce(avg(v) FILTER (abs(v - a) > abs(v - b)), b) AS nb FROM s JOIN v USING (page_id) WHERE k < 30 AND NOT done GROUP BY s.page_id, k, a, b)),
+l AS (SELECT page_id, arg_max(a, k) AS a, arg_max(b, k) AS b FROM s GROUP BY 1),
+c AS (SELECT page_id, a, b, count(*) FILTER (abs(v - a) <= abs(v - b)) AS n, count(*) FILTER (abs(v - a) > abs(v - b)) AS m, avg(least(abs(v - a), abs(v - b))) AS spread FROM l JOIN v USING (page_id) GROUP BY 1, 2, 3),
+t AS (SELECT page_id, (a + b) / 2 AS cut, n < m AS toleft FROM c WHERE least(n, m) / (n + m) BETWEEN 0.05 AND 0.35 AND b - a > spread)
+SELECT page_id, box_id, round(CASE WHEN toleft AND x0 < cut AND cut < x1 AND x1 - cut >= 3 THEN cut ELSE x0 END, 6) AS n0, round(CASE WHEN NOT toleft AND x0 < cut AND cut < x1 AND cut - x0 >= 3 THEN cut ELSE x1 END, 6) AS n1 FROM box LEFT JOIN t USING (page_id)"""
+)
 def side_noise_cut(docs):
-    """No SQL twin: two-means by page and side. Tested on a drawn page."""
-    return geometry.side_noise(views.line_boxes(docs)).groupBy("page_id").agg(F.count("*").alias("n"), F.min("n0").alias("left"), F.max("n1").alias("right"))
+    return geometry.side_noise(views.line_boxes(docs)).select("page_id", "box_id", F.round("n0", 6).alias("n0"), F.round("n1", 6).alias("n1"))
 
 
 @query(
-    f"""WITH {TILE}, a AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0), b AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0.1),
-t AS (SELECT a.page_id, a.y, a.x, least(3, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)))) AS d FROM a JOIN b USING (page_id) GROUP BY 1, 2, 3), u AS (SELECT b.page_id, b.y, b.x, least(3, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)))) AS d FROM b JOIN a USING (page_id) GROUP BY 1, 2, 3),
-p AS (SELECT DISTINCT page_id FROM a), m AS (SELECT page_id, avg(d) AS d FROM t GROUP BY 1), n AS (SELECT page_id, avg(d) AS d FROM u GROUP BY 1)
-SELECT page_id, round((coalesce(m.d, 3) + coalesce(n.d, 3)) / 2, 6) AS chamfer FROM p LEFT JOIN m USING (page_id) LEFT JOIN n USING (page_id)""",
+    f"""WITH {TILE}, a AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0), b AS (SELECT tile_id AS page_id, y, x FROM tile WHERE v > 0.2),
+t AS (SELECT a.page_id, a.y, a.x, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))) AS d FROM a JOIN b USING (page_id) GROUP BY 1, 2, 3), u AS (SELECT b.page_id, b.y, b.x, min(sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))) AS d FROM b JOIN a USING (page_id) GROUP BY 1, 2, 3),
+p AS (SELECT DISTINCT page_id FROM a UNION SELECT page_id FROM b), m AS (SELECT page_id, avg(d) AS d FROM t GROUP BY 1), n AS (SELECT page_id, avg(d) AS d FROM u GROUP BY 1)
+SELECT page_id, round(coalesce((m.d + n.d) / 2, 8), 6) AS chamfer FROM p LEFT JOIN m USING (page_id) LEFT JOIN n USING (page_id)""",
     "embeddings",
 )
 def chamfer_distance(vecs):
-    two = [views.tiles(vecs).where(F.col("v") > low).select(F.col("tile_id").alias("page_id"), "y", "x") for low in (0.0, 0.1)]
-    return metrics.chamfer(*two, 3.0).select("page_id", F.round("chamfer", 6).alias("chamfer"))
+    """Exact distances; the side of a tile where one of the masks is empty."""
+    two = [views.tiles(vecs).where(F.col("v") > low).select(F.col("tile_id").alias("page_id"), "y", "x") for low in (0.0, 0.2)]
+    return metrics.chamfer(*two, 2.0, 8.0).select("page_id", F.round("chamfer", 6).alias("chamfer"))
 
 
 # --- rectification
@@ -598,12 +613,13 @@ def running_mean_groups(docs):
     return hough.mean_groups(rows, 3.0).select("page_id", "group", F.round("mean", 6).alias("mean"), F.size("comp_ids").alias("n"))
 
 
-@query(
-    f"""WITH {WORD}, h AS (SELECT page_id, w AS h, count(*) OVER p AS n, min(w) OVER p AS a, max(w) OVER p AS b, avg(w) OVER p AS mean FROM word WHERE w > 4 WINDOW p AS (PARTITION BY page_id)),
-k AS (SELECT *, floor(n / 10) AS bins, (b - a) / floor(n / 10) AS w FROM h WHERE n >= 20 AND b > a), c AS (SELECT page_id, least(bins - 1, floor((h - a) / w)) AS k, a, w, count(*) AS c FROM k GROUP BY ALL),
-m AS (SELECT page_id, arg_min(a + (k + 0.5) * w, (-c, k)) AS ah FROM c WHERE k > 0 GROUP BY 1)
-SELECT page_id, round(coalesce(any_value(m.ah), any_value(h.mean)), 6) AS ah FROM h LEFT JOIN m USING (page_id) GROUP BY 1"""
-)
+def _height_bins(name: str, of: str) -> str:
+    return f"""{name}h AS (SELECT page_id, w AS h, count(*) OVER p AS n, min(w) OVER p AS a, max(w) OVER p AS b FROM {of} WINDOW p AS (PARTITION BY page_id)),
+{name}k AS (SELECT *, floor(n / 10) AS bins, (b - a) / floor(n / 10) AS w FROM {name}h WHERE n >= 20 AND b > a), {name}c AS (SELECT page_id, least(bins - 1, floor((h - a) / w)) AS k, a, w, count(*) AS c FROM {name}k GROUP BY ALL),
+{name} AS (SELECT page_id, arg_min(a + (k + 0.5) * w, (-c, k)) AS ah FROM {name}c WHERE k > 0 GROUP BY 1)"""
+
+
+@query(f"WITH {WORD}, {_height_bins('hi', '(SELECT * FROM word WHERE w > 4)')}, {_height_bins('al', 'word')}, m AS (SELECT page_id, avg(w) AS mean FROM word GROUP BY 1) SELECT page_id, round(coalesce(hi.ah, al.ah, mean), 6) AS ah FROM m LEFT JOIN hi USING (page_id) LEFT JOIN al USING (page_id)")
 def ah_histogram(docs):
     found = components.character_height_bins(words(docs).select("page_id", F.col("w").alias("h")))
     return found.select("page_id", F.round("ah", 6).alias("ah"))
@@ -616,6 +632,18 @@ def detect_tile_lines(vecs):
     return detectors.by_profile(ink(vecs), 8, 8)
 
 
+@query(None, "embeddings")
+def detect_tile_lines_two_kernels(vecs):
+    """No SQL twin: searched seams. Tested on generated pages."""
+    return detectors.by_two_kernels(ink(vecs), 8, 8, 5, 3, least=2)
+
+
+@query(None, "embeddings")
+def detect_tile_lines_hough(vecs):
+    """No SQL twin: labelling and peaks. Tested on generated pages."""
+    return detectors.by_hough(ink(vecs), 8, 8, block=2, step=1.0, least=2, second=2)
+
+
 def detector_scores(spark, sf_dir: str) -> DataFrame:
     """Generated pages through the three detectors: micro-averaged figures by detector. No table
     is read and no SQL twin exists."""
