@@ -71,12 +71,13 @@ def seam_starts(found: DataFrame, floor: bool = False) -> DataFrame:
 
 
 def word_spans(columns: DataFrame, gap: int = 6, least: int = 3) -> DataFrame:
-    """columns(page_id, line, x): ink columns to word spans; a word ends where more than `gap`
-    columns are empty, and is `least` columns wide or more."""
-    order = Window.partitionBy("page_id", "line").orderBy("x")
-    new = F.when(F.col("x") - F.lag("x").over(order) <= gap + 1, 0).otherwise(1)
-    words = columns.withColumn("new", new).withColumn("word", F.sum("new").over(order))
-    spans = words.groupBy("page_id", "line", "word").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    """columns(page_id, line, x), or runs of ink columns (page_id, line, x0, x1), to word spans; a
+    word ends where more than `gap` columns are empty, and is `least` columns wide or more."""
+    runs = columns if "x0" in columns.columns else columns.select("page_id", "line", F.col("x").alias("x0"), F.col("x").alias("x1"))
+    order = Window.partitionBy("page_id", "line").orderBy("x0")
+    new = F.when(F.col("x0") - F.lag("x1").over(order) - 1 <= gap, 0).otherwise(1)
+    words = runs.withColumn("new", new).withColumn("word", F.sum("new").over(order))
+    spans = words.groupBy("page_id", "line", "word").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     return spans.where(F.col("x1") - F.col("x0") + 1 >= least)
 
 

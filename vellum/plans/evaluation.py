@@ -6,24 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators import etl, geometry, matching, metrics, profile, tuning
+from vellum.plans.collect import collector
 from vellum.plans.layout import ink, lines, z_regions
 from vellum.plans.sql import BOX, PAGE_LINE, TILE, ZREGION
-from vellum.runtime import table
 from vellum.sources import labels, views
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(oracle: str | None = None, *sources: str):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in sources or ("documents",)])
-        QUERIES[f.__name__].__doc__ = f.__doc__
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+QUERIES, ORACLES, query = collector()
 
 
 # --- boxes and matching: line boxes are the targets, the same boxes moved and cut the predictions

@@ -112,8 +112,8 @@ g AS (SELECT *, sum(n) OVER (PARTITION BY page_id, line ORDER BY x) AS word FROM
 SELECT page_id, line, CAST(min(x) AS INTEGER) AS x0, CAST(max(x) AS INTEGER) AS x1 FROM g GROUP BY page_id, line, word HAVING max(x) - min(x) + 1 >= 3"""
 )
 def word_spans(docs):
-    cells = views.page_ink(docs).select("page_id", F.col("y").alias("line"), "x")
-    return profile.word_spans(cells, gap=0).select("page_id", "line", "x0", "x1")
+    runs = views.page_words(docs).select("page_id", F.col("y").alias("line"), F.col("x").alias("x0"), (F.col("x") + F.col("w") - 1).alias("x1"))
+    return profile.word_spans(runs, gap=0).select("page_id", "line", "x0", "x1")
 
 
 # --- morphology on tile rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.plans import evaluation, layout
+from vellum.plans import evaluation, layout, masks
 from vellum.runtime import ship
 
 
@@ -15,5 +15,5 @@ def _shipped(f):
     return query
 
 
-QUERIES: dict = {k: _shipped(f) for k, f in (layout.QUERIES | evaluation.QUERIES).items()}
-ORACLES: dict = layout.ORACLES | evaluation.ORACLES
+QUERIES: dict = {k: _shipped(f) for k, f in (layout.QUERIES | evaluation.QUERIES | masks.QUERIES).items()}
+ORACLES: dict = layout.ORACLES | evaluation.ORACLES | masks.ORACLES
