@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum import runtime
 
 
+CHUNK_EDGES = 1 << 20
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _stars(edges: np.ndarray) -> np.ndarray:
+    """Edges (2 rows) from each node to the smallest one that these edges let it reach."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    a, b = ends.reshape(edges.shape)
+    root = np.arange(len(nodes))
+    while (low := np.minimum(root[a], root[b]) < np.maximum(root[a], root[b])).any():
+        a, b = a[low], b[low]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[tied], nodes[root[tied]]])
+
+
+def _thinned(batches, chunk: int):
+    """A task's edges as stars of the same connections. Holds about two chunks of edges: where
+    their stars are half a chunk or more, these go out and the next ones start anew."""
+    held, n = [np.zeros((2, 0), np.int64)], 0
+    for batch in batches:
+        held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns]))
+        n += batch.num_rows
+        if n >= chunk:
+            stars = _stars(np.concatenate(held, axis=1))
+            if full := 2 * stars.shape[1] >= chunk:
+                yield pa.record_batch([*map(pa.array, stars)], schema=_EDGES)
+            held, n = ([], 0) if full else ([stars], stars.shape[1])
+    if n:
+        yield pa.record_batch([*map(pa.array, _stars(np.concatenate(held, axis=1)))], schema=_EDGES)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours are tied to its smallest neighbour (or itself); the large star does
     this for greater neighbours, the small star for smaller ones."""
@@ -23,14 +59,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b): root is the smallest node it reaches. Each
+def components(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
+    """(node, root) for every node of edges(a, b): root is the smallest node it reaches. First each
+    task replaces its part of the edges, where it lies, by stars that connect the same nodes, so
+    what many edges say of one group costs about its nodes. Each
     round is written to the shared folder; there are about as many as the logarithm of the nodes.
     Null ends and loops are ignored. A hub's edges are summed on the map side and its join is a
     plain shuffle join, which Spark splits when it is skewed."""
     edges = runtime.stored(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    runtime.ship(edges.sparkSession)
+    edges = runtime.stored(edges.mapInArrow(lambda batches: _thinned(batches, chunk), "a bigint, b bigint"), "thinned")
     sign = None
     while True:
         edges = runtime.stored(_star(_star(edges, True), False), "stars")
