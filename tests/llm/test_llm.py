@@ -240,8 +240,32 @@ def test_similar_texts_are_one(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(5, 5), (None, 3), (7, 6)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
+    for chunk in (4, 1 << 20):
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), chunk).collect()}
+        assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
+    assert not graph.components(spark.createDataFrame([(4, 4)], "a bigint, b bigint")).collect()
+
+
+def test_thinned_edges_connect_the_same():
+    import numpy as np
+    import pyarrow as pa
+
+    def roots(edges):
+        root = {x: x for x in want_nodes}
+        for _ in want_nodes:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    r = random.Random(3)
+    for _ in range(60):
+        edges = [(r.randrange(40) * 7 - 50, r.randrange(40) * 7 - 50) for _ in range(r.randint(1, 70))]
+        want_nodes = {x for e in edges for x in e}
+        batches = [pa.record_batch([pa.array(x) for x in np.array(edges[i : i + 7], np.int64).T], names=["a", "b"]) for i in range(0, len(edges), 7)]
+        for chunk in (4, 20, 1000):
+            found = [tuple(row.values()) for b in graph._thinned(iter(batches), chunk) for row in b.to_pylist()]
+            assert roots(found) == roots(edges)
+            assert chunk < 1000 or len(found) == len(want_nodes) - len(set(roots(edges).values()))
 
 
 # --- 3: token counts

@@ -11,6 +11,7 @@ from vellum import runtime
 
 
 CHUNK_EDGES = 1 << 20
+LEAST_TASKS, MERGED = 8, 16
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -62,21 +63,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node it reaches. First each
     task replaces its part of the edges, where it lies, by stars that connect the same nodes, so
-    what many edges say of one group costs about its nodes. Each
-    round is written to the shared folder; there are about as many as the logarithm of the nodes.
+    what many edges say of one group costs about its nodes; such a task takes `MERGED` shuffle
+    partitions. Each round is written to the shared folder, by one task for each quarter of a
+    chunk of edges; there are about as many rounds as the logarithm of the nodes.
     Null ends and loops are ignored. A hub's edges are summed on the map side and its join is a
     plain shuffle join, which Spark splits when it is skewed."""
-    edges = runtime.stored(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    runtime.ship(edges.sparkSession)
-    edges = runtime.stored(edges.mapInArrow(lambda batches: _thinned(batches, chunk), "a bigint, b bigint"), "thinned")
-    sign = None
-    while True:
-        edges = runtime.stored(_star(_star(edges, True), False), "stars")
+    spark = edges.sparkSession
+    runtime.ship(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    thin = lambda batches: _thinned(batches, chunk)
+    edges = runtime.stored(ends.coalesce(max(LEAST_TASKS, partitions // MERGED)).mapInArrow(thin, "a bigint, b bigint"), "thinned")
+    sign, n = None, edges.count()
+    while n:
+        edges = runtime.stored(_star(_star(edges, True), False).coalesce(max(LEAST_TASKS, 4 * n // chunk)), "stars")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == sign or not now[0]:
+        if now == sign:
             break
-        sign = now
+        sign, n = now, now[0]
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
