@@ -11,7 +11,7 @@ from vellum import runtime
 
 
 CHUNK_EDGES = 1 << 20
-LEAST_TASKS, MERGED = 8, 16
+LEAST_TASKS, MERGED, SALTS = 8, 16, 16
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -45,19 +45,22 @@ def _thinned(batches, chunk: int):
         yield pa.record_batch([*map(pa.array, _stars(np.concatenate(held, axis=1)))], schema=_EDGES)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours are tied to its smallest neighbour (or itself); the large star does
-    this for greater neighbours, the small star for smaller ones."""
-    if large:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    tied = both.join(least, "a")
-    moved = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else tied.where(
-        F.col("b") != F.col("m")
-    ).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-    return moved.where(F.col("a") != F.col("b")).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """edges(a > b): every a is tied to the smallest neighbour of its b, or to b itself. Only
+    nodes that are some edge's smaller end and have a smaller neighbour are looked up, `SALTS`
+    times each, so a hub's edges go to as many tasks."""
+    smaller = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "c")
+    lows = edges.select(F.col("b").alias("c")).distinct()
+    moving = smaller.join(lows, "c", "left_semi").select(F.col("c").alias("b"), "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("s"))
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    return salted.join(moving, ["b", "s"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """edges(a > b): the smaller neighbours of a, and a, are tied to the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
@@ -66,8 +69,8 @@ def components(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
     what many edges say of one group costs about its nodes; such a task takes `MERGED` shuffle
     partitions. Each round is written to the shared folder, by one task for each quarter of a
     chunk of edges; there are about as many rounds as the logarithm of the nodes.
-    Null ends and loops are ignored. A hub's edges are summed on the map side and its join is a
-    plain shuffle join, which Spark splits when it is skewed."""
+    Null ends and loops are ignored. A hub's edges are summed on the map side and joined in
+    salted parts."""
     spark = edges.sparkSession
     runtime.ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,7 +79,7 @@ def components(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
     edges = runtime.stored(ends.coalesce(max(LEAST_TASKS, partitions // MERGED)).mapInArrow(thin, "a bigint, b bigint"), "thinned")
     sign, n = None, edges.count()
     while n:
-        edges = runtime.stored(_star(_star(edges, True), False).coalesce(max(LEAST_TASKS, 4 * n // chunk)), "stars")
+        edges = runtime.stored(_small_star(_large_star(edges)).coalesce(max(LEAST_TASKS, 4 * n // chunk)), "stars")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == sign:
             break
