@@ -408,3 +408,35 @@ def test_detectors_find_generated_lines(spark):
     assert r.recall > 0.5, r
     assert detectors.evaluated(targets.limit(0), targets).first().recall == 0
     assert detectors.deskewed(ink, 200, 160).count() > 0
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString(), frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_words_without_a_shuffle(spark):
+    from vellum.plans import layout
+
+    texts = [(1, "ab  c\n\nüü 😀\tx\n" + " " * 70 + "far"), (2, None), (3, ""), (4, "one"), (None, "a b"), (5, "\n".join(" " * (i % 7) + "a bb" * (i % 3) + " c" for i in range(40)))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = layout.nearest_component(docs)
+    points = layout.words(docs).select("page_id", (F.col("y") * 100000 + F.col("x")).alias("comp_id"), (F.col("x") + F.col("w") / 2).alias("cx"), (8.0 * F.col("y")).alias("cy"))
+    want = components.nearest(points, 12.0).where("page_id is not null").select("page_id", "comp_id", F.round("distance", 6).alias("distance"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert "Exchange" not in _plan(got)[1]
+
+
+def test_nearest_places_by_all_pairs():
+    rng = np.random.default_rng(3)
+    for t in range(60):
+        n = int(rng.integers(0, 40))
+        page, ids = rng.integers(0, 3, n), rng.integers(0, 12, n) if t % 2 else rng.permutation(n)
+        x, y = rng.integers(0, 3 + 40 * (t % 3), n) / 2, rng.integers(0, 3 + 9 * (t % 4), n) * 1.0
+        want = {}
+        for i in range(n):
+            pairs = [(math.sqrt((x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2), int(ids[j])) for j in range(n) if page[j] == page[i] and ids[j] != ids[i]]
+            if pairs:
+                key = int(page[i]), int(ids[i])
+                want[key] = min([*pairs, want.get(key, (math.inf, 0))])
+        place, other, distance = components.nearest_places(page, ids, x, y)
+        assert {(int(page[p]), int(ids[p])): (float(d), int(o)) for p, o, d in zip(place, other, distance)} == want and len(place) == len(want)

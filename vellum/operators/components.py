@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +131,93 @@ def nearest(points: DataFrame, reach: float) -> DataFrame:
     return found.withColumnRenamed("id", "comp_id")
 
 
+def nearest_places(page: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, other, distance) of the points that have a neighbour: the nearest of their page with
+    another id, the least id on a tie; of points that share page and id, the nearest only.
+
+    Points are sorted into rows of one y. In a row only the next ones on both sides count, and rows
+    are looked at from the own one outwards for as long as they are no farther than what is found."""
+    n = len(x)
+    order = np.lexsort((ids, x, y, page))
+    page, ids, x, y = (a[order] for a in (page, ids, x, y))
+    new = np.ones(n, bool)
+    new[1:] = (page[1:] != page[:-1]) | (y[1:] != y[:-1])
+    low = np.flatnonzero(new)
+    high = np.append(low[1:], n)
+    row = np.cumsum(new) - 1
+    new[1:] |= x[1:] != x[:-1]
+    same = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first point of the same place
+    found, other = np.full(n, np.inf), np.full(n, -1)
+
+    def take(me: np.ndarray, it: np.ndarray) -> None:
+        d = np.sqrt((x[me] - x[it]) ** 2 + (y[me] - y[it]) ** 2)
+        least = (d < found[me]) | ((d == found[me]) & (other[me] >= 0) & (ids[it] < ids[other[me]]))
+        found[me[least]], other[me[least]] = d[least], it[least]
+
+    def both_sides(me: np.ndarray, it: np.ndarray, r: np.ndarray) -> None:
+        """it: the first point of row r that isn't left of me, or any of the same place."""
+        right, left, lo, hi = it.copy(), it - 1, low[r], high[r]
+        while len(own := np.flatnonzero((right < hi) & (ids[np.minimum(right, n - 1)] == ids[me]))):
+            right[own] += 1
+        while len(own := np.flatnonzero((left >= lo) & (ids[np.maximum(left, 0)] == ids[me]))):
+            left[own] -= 1
+        there = right < hi
+        take(me[there], right[there])
+        there = left >= lo
+        me, left = me[there], same[left[there]]
+        while len(own := np.flatnonzero(ids[left] == ids[me])):
+            left[own] += 1
+        take(me, left)
+
+    def place(me: np.ndarray, r: np.ndarray) -> np.ndarray:
+        lo, hi = low[r], high[r]
+        while len(open_ := np.flatnonzero(lo < hi)):
+            middle = (lo[open_] + hi[open_]) // 2
+            less = x[middle] < x[me[open_]]
+            lo[open_[less]], hi[open_[~less]] = middle[less] + 1, middle[~less]
+        return lo
+
+    every = np.arange(n)
+    both_sides(every, every, row)
+    up = down = every
+    step = 0
+    while len(up) or len(down):
+        step += 1
+        sides = []
+        for me, r in ((up, row[up] - step), (down, row[down] + step)):
+            inside = (r >= 0) & (r < len(low))
+            me, r = me[inside], r[inside]
+            near = (page[low[r]] == page[me]) & (np.abs(y[low[r]] - y[me]) <= found[me])
+            me, r = me[near], r[near]
+            both_sides(me, place(me, r), r)
+            sides.append(me)
+        up, down = sides
+    has = np.flatnonzero(other >= 0)
+    by_id = has[np.lexsort((ids[has], page[has]))]
+    if ((page[by_id][1:] == page[by_id][:-1]) & (ids[by_id][1:] == ids[by_id][:-1])).any():
+        by_id = has[np.lexsort((ids[other[has]], found[has], ids[has], page[has]))]
+        one = np.ones(len(by_id), bool)
+        one[1:] = (page[by_id][1:] != page[by_id][:-1]) | (ids[by_id][1:] != ids[by_id][:-1])
+        has = by_id[one]
+    return order[has], ids[other[has]], found[has]
+
+
+def nearest_in_rows(pages: DataFrame, points: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]) -> DataFrame:
+    """The same as `nearest` where a row of `pages` holds a whole page, so that nothing is shuffled:
+    (page_id, comp_id, other, distance). points(batches) yields (page_id, row, comp_id, cx, cy):
+    the ids of some pages, and by point the number of its page among them, its id and place."""
+
+    def run(batches):
+        for page_id, row, ids, cx, cy in points(batches):
+            place, other, distance = nearest_places(row, ids, cx, cy)
+            for i in range(0, len(place), 100_000):
+                p = place[i : i + 100_000]
+                columns = (page_id[row[p]], ids[p], other[i : i + 100_000], distance[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["page_id", "comp_id", "other", "distance"])
+
+    return pages.mapInArrow(run, "page_id bigint, comp_id bigint, other bigint, distance double")
+
+
 def between_class_threshold(values: DataFrame, value: str = "distance") -> DataFrame:
     """By page: the value t that parts the values into <= t and > t with the greatest between-
     class variance, the first on a tie; the median where one class would be empty. Running sums

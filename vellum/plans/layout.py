@@ -207,9 +207,16 @@ far AS (SELECT a.page_id, a.comp_id, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b
 near AS (SELECT * FROM near0 WHERE distance <= 12 UNION ALL SELECT * FROM far)"""
 
 
+def _word_points(batches):
+    """Centres of the words of about 2 MB of texts at a time."""
+    for batch in views.in_pieces(batches, "text", 1 << 21):
+        row, y, x, w = views.words_of(batch["text"])
+        yield batch["page_id"].to_numpy(zero_copy_only=False), row, y * 100000 + x, x + w / 2, 8.0 * y
+
+
 def _nearest(docs):
-    points = words(docs).select("page_id", (F.col("y") * 100000 + F.col("x")).alias("comp_id"), (F.col("x") + F.col("w") / 2).alias("cx"), (8.0 * F.col("y")).alias("cy"))
-    return components.nearest(points, 12.0)
+    pages = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("page_id"), "text")
+    return components.nearest_in_rows(pages, _word_points).withColumn("comp_id", F.col("comp_id").cast("int"))
 
 
 @query(f"WITH {_CENTRES} SELECT page_id, comp_id, round(distance, 6) AS distance FROM near")

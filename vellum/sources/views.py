@@ -7,6 +7,11 @@ of 64 numbers as 8 rows of 8 values, ink where the value is above zero.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,42 @@ def page_words(documents: DataFrame) -> DataFrame:
     return placed.where(size > 0).select("page_id", "y", "x", size.alias("w"), F.lit(1).alias("h"), size.alias("area"))
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the bytes of a column of texts pass `most`; a longer text stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch[text]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            held = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, held + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, y, x, w) of the words of whole texts, as page_words has them, in order; null has none.
+    In an Arrow function it takes the place of that window, which shuffles every word."""
+    text = text.fill_null("").cast(pa.large_binary())
+    _, ends, data = text.buffers()
+    at = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+    b = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    full = at[:-1] < at[1:]
+    blank = (b == 32) | (b == 10)
+    first, last = np.ones(len(b), bool), np.ones(len(b), bool)
+    first[1:], last[:-1] = blank[:-1], blank[1:]
+    first[at[:-1][full]] = last[at[1:][full] - 1] = True
+    starts, stops = np.flatnonzero(first & ~blank), np.flatnonzero(last & ~blank) + 1
+    # characters before each byte: those that go on a character count for none
+    chars = np.zeros(len(b) + 1, np.int64)
+    np.cumsum((b & 0xC0) != 0x80, out=chars[1:])
+    breaks = np.flatnonzero(b == 10)
+    row = np.searchsorted(at, starts, "right") - 1
+    before = np.searchsorted(breaks, starts)
+    line = np.maximum(at[row], np.concatenate([[0], breaks + 1])[before])
+    return row, before - np.searchsorted(breaks, at[:-1])[row], chars[starts] - chars[line], chars[stops] - chars[starts]
+
+
 def tiles(embeddings: DataFrame) -> DataFrame:
     """(tile_id, label, y, x, v)."""
     cells = embeddings.select(F.col("vec_id").alias("tile_id"), "label", F.posexplode("embedding").alias("i", "v"))
