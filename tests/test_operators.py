@@ -440,3 +440,10 @@ def test_nearest_places_by_all_pairs():
                 want[key] = min([*pairs, want.get(key, (math.inf, 0))])
         place, other, distance = components.nearest_places(page, ids, x, y)
         assert {(int(page[p]), int(ids[p])): (float(d), int(o)) for p, o, d in zip(place, other, distance)} == want and len(place) == len(want)
+
+
+def test_threshold_makes_its_values_once(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 1.0), (1, 50.0), (1, 52.0), (2, 4.0), (2, 4.0)], "page_id bigint, distance double")
+    found = components.between_class_threshold(rows.withColumn("distance", F.col("distance") + 0))
+    assert {r.page_id: r.threshold for r in found.collect()} == {1: 2.0, 2: 4.0}
+    assert "Join" not in _plan(found)[0]

@@ -221,7 +221,8 @@ def nearest_in_rows(pages: DataFrame, points: Callable[[Iterator[pa.RecordBatch]
 def between_class_threshold(values: DataFrame, value: str = "distance") -> DataFrame:
     """By page: the value t that parts the values into <= t and > t with the greatest between-
     class variance, the first on a tie; the median where one class would be empty. Running sums
-    over distinct values, so one pass by page."""
+    over distinct values, so one pass by page; the median comes of them too, and the values are
+    made once."""
     sums = values.groupBy("page_id", F.col(value).alias("t")).agg(F.count("*").alias("n"))
     order = by("page_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     page = by("page_id")
@@ -229,9 +230,8 @@ def between_class_threshold(values: DataFrame, value: str = "distance") -> DataF
     n2 = F.col("all") - F.col("n1")
     mean = F.col("s1") / F.col("n1") - (F.col("s") - F.col("s1")) / F.nullif(n2, F.lit(0))
     score = F.round(F.col("n1") / F.col("all") * n2 / F.col("all") * mean * mean, 9)
-    best = rows.withColumn("score", score).where("score is not null").groupBy("page_id").agg(F.min_by("t", F.struct((-F.col("score")).alias("a"), "t")).alias("best"))
-    middle = values.groupBy("page_id").agg(F.median(value).alias("median"))
-    return middle.join(best, "page_id", "left").select("page_id", F.coalesce("best", "median").alias("threshold"))
+    best = F.min_by("t", F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("a"), "t")))
+    return rows.withColumn("score", score).groupBy("page_id").agg(F.coalesce(best, F.percentile("t", F.lit(0.5), F.col("n"))).alias("threshold"))
 
 
 def otsu(cells: DataFrame, value: str, levels: int = 256) -> DataFrame:
