@@ -447,3 +447,15 @@ def test_threshold_makes_its_values_once(spark):
     found = components.between_class_threshold(rows.withColumn("distance", F.col("distance") + 0))
     assert {r.page_id: r.threshold for r in found.collect()} == {1: 2.0, 2: 4.0}
     assert "Join" not in _plan(found)[0]
+
+
+def test_axes_of_parts_in_any_order(spark):
+    cells = [(y, x) for y in range(6) for x in range(9) if (x * y) % 4 < 2]
+    mixed = random.Random(1).sample(cells, len(cells))
+    rows = [(1, cells), (2, mixed[:7]), (2, mixed[7:]), (3, [(0, 0)]), (4, [(0, 5), (0, 1)])]
+    found = geometry.axes(spark.createDataFrame(rows, "page_id bigint, cells array<struct<y: int, x: int>>").repartition(3), "page_id")
+    got = {r.page_id: (r.n, r.angle) for r in found.collect()}
+    assert got[1] == got[2] and got[1][0] == len(cells) and got[3] == (1, None) and got[4] == (2, 0.0)
+    x, y = np.array(cells)[:, 1], np.array(cells)[:, 0]
+    xy = np.cov(x, y)
+    assert math.isclose(got[1][1], math.atan2(2 * xy[0, 1], xy[0, 0] - xy[1, 1]) / 2)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -30,3 +33,29 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 def by(*keys: str):
     return Window.partitionBy(*keys)
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as in SQL, where what is below zero and rounds to it keeps its sign: -0.0."""
+    r = F.round(c, digits)
+    return F.when((r == 0) & (c < 0), -F.abs(r)).otherwise(r)
+
+
+def axis(xs: Iterable[float], ys: Iterable[float]) -> float | None:
+    """The angle of greatest variance of points in the given order, above -pi/2 and up to it; null
+    with under 2 points. Where the exact covariance is 0, its sign hangs on the last bit of the
+    sums. So these are running updates point by point with the roundings of DuckDB's var_samp and
+    covar_samp(x, y), which adds the product without rounding it first; Spark's aggregates round
+    otherwise, and once more where partial ones meet."""
+    n = 0
+    mx = my = xx = yy = xy = 0.0
+    for x, y in zip(xs, ys, strict=True):
+        n += 1
+        dx, dy = x - mx, y - my
+        mx += dx / n
+        my += dy / n
+        xx += (x - mx) * dx
+        yy += (y - my) * dy
+        xy = math.fma(dy, x - mx, xy)
+    n -= 1
+    return math.atan2(2 * (xy / n), xx / n - yy / n) / 2 if n > 0 else None

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.numeric import by, half_even, overlap
+from vellum.functions.numeric import axis, by, half_even, overlap
 
 
 def skew(ink: DataFrame, angles: list[float], height: int) -> DataFrame:
@@ -25,6 +27,42 @@ def skew(ink: DataFrame, angles: list[float], height: int) -> DataFrame:
     return scored.groupBy("page_id").agg(best).select("page_id", "b.angle", "b.var")
 
 
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, x, y) of the column `cells`: cells by row, and their places, row after row and each in
+    order of the raster."""
+    flat = batch["cells"].flatten()
+    n = batch["cells"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x", "y"))
+    order = np.lexsort((x, y, np.repeat(np.arange(len(n)), n)))
+    return n, x[order], y[order]
+
+
+def _axes(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[float | None]:
+    xs, ys, ends = x.tolist(), y.tolist(), np.cumsum(n).tolist()
+    return [axis(xs[a:b], ys[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def _by_page(pages: DataFrame, keys: list[str], found: Callable[[pa.RecordBatch], tuple[pa.RecordBatch, dict]], columns: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            batch, new = found(batch)
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array(v) for v in new.values())], [*keys, *new])
+
+    whole = pages.groupBy(*keys).agg(F.flatten(F.collect_list("cells")).alias("cells"))
+    return whole.mapInArrow(run, ", ".join([*(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in keys), columns]))
+
+
+def axes(pages: DataFrame, *keys: str) -> DataFrame:
+    """pages(*keys, cells array<struct<y, x>>), whole pages or parts of them: (*keys, n, angle), the
+    number of cells and the axis of their greatest variance."""
+
+    def found(batch):
+        n, x, y = _places(batch)
+        return batch, {"n": n, "angle": pa.array(_axes(n, x, y), pa.float64())}
+
+    return _by_page(pages, list(keys), found, "n bigint, angle double")
+
+
 def pca_box(ink: DataFrame, *keys: str, least: int = 10, low: float = 0.01, high: float = 0.99, low_short: float = 0.05, high_short: float = 0.95) -> DataFrame:
     """The box along the main axis of each point set: centre, direction, and extents between
     percentiles along it and across it. The axis comes in closed form from the covariances."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.numeric import by, half_even
+from vellum.operators.geometry import axes
 
 
 def cropped(cells: DataFrame) -> DataFrame:
@@ -155,13 +156,12 @@ def long_boxes(boxes: DataFrame, corners: Column, width: Column, share: float =
     return boxes.where(F.array_max(sides(corners)) > share * width)
 
 
-def main_direction(points: DataFrame, least: int = 3) -> DataFrame:
-    """points(page_id, x, y): degrees of the axis of greatest variance, from 0 up to 180; 0 with
-    fewer than `least` points."""
-    stats = points.groupBy("page_id").agg(F.count("*").alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy"))
-    angle = F.degrees(F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2)
+def main_direction(pages: DataFrame, least: int = 3) -> DataFrame:
+    """pages(page_id, cells) as for geometry.axes: degrees of the axis of greatest variance, from 0
+    up to 180; 0 with fewer than `least` points."""
+    angle = F.degrees("angle")
     turned_up = F.when(angle < 0, angle + 180).otherwise(angle)
-    return stats.select("page_id", F.when(F.col("n") < least, 0.0).otherwise(turned_up).alias("angle"))
+    return axes(pages, "page_id").select("page_id", F.when(F.col("n") < least, 0.0).otherwise(turned_up).alias("angle"))
 
 
 def vote_thresholds(n: Column, first: int, second: int, few: int, many: int, least: tuple[int, int], most: tuple[int, int]) -> tuple[Column, Column]:

@@ -39,6 +39,10 @@ def ink(vecs: DataFrame) -> DataFrame:
     return views.tile_ink(vecs).select(F.col("tile_id").alias("page_id"), "y", "x")
 
 
+def ink_lists(vecs: DataFrame) -> DataFrame:
+    return views.tile_cells(vecs).withColumnRenamed("tile_id", "page_id")
+
+
 def as_pages(vecs: DataFrame) -> DataFrame:
     return views.tiles(vecs).select(F.col("tile_id").alias("page_id"), "y", "x", "v")
 

@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
+from vellum.functions.numeric import rounded
 from vellum.operators import components, etl, masks, seams
 from vellum.plans.collect import collector
 from vellum.plans.evaluation import predictions
-from vellum.plans.layout import as_pages, ink, words, z_regions
+from vellum.plans.layout import as_pages, ink, ink_lists, words, z_regions
 from vellum.plans.sql import BOX, PAGE_LINE, TILE, WORD, ZREGION
 from vellum.sources import views
 
@@ -135,7 +136,7 @@ def outline_distance(docs):
 
 @query(f"WITH {_INK}, s AS (SELECT page_id, count(*) AS n, degrees(atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2) AS a FROM ink GROUP BY 1) SELECT page_id, round(CASE WHEN n < 30 THEN 0 WHEN a < 0 THEN a + 180 ELSE a END, 6) AS angle FROM s", "embeddings")
 def main_direction(vecs):
-    return masks.main_direction(ink(vecs), 30).withColumn("angle", F.round("angle", 6))
+    return masks.main_direction(ink_lists(vecs), 30).withColumn("angle", rounded(F.col("angle"), 6))
 
 
 @query(f"WITH {WORD}, c AS (SELECT page_id, count(*) AS n FROM word GROUP BY 1) SELECT page_id, CAST(CASE WHEN n < 50 THEN 3 WHEN n > 200 THEN 8 ELSE 7 END AS INTEGER) AS first, CAST(CASE WHEN n < 50 THEN 4 WHEN n > 200 THEN 11 ELSE 9 END AS INTEGER) AS second FROM c")

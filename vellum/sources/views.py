@@ -86,6 +86,13 @@ def tile_ink(embeddings: DataFrame) -> DataFrame:
     return tiles(embeddings).where("v > 0").select("tile_id", "label", "y", "x")
 
 
+def tile_cells(embeddings: DataFrame) -> DataFrame:
+    """(tile_id, cells): the ink of a tile as one list, straight from the array."""
+    cell = lambda v, i: F.when(v > 0, F.struct(F.floor(i / TILE).cast("int").alias("y"), (i % TILE).alias("x")))
+    cells = F.filter(F.transform("embedding", cell), lambda c: c.isNotNull())
+    return embeddings.select(F.col("vec_id").alias("tile_id"), cells.alias("cells")).where(F.size("cells") > 0)
+
+
 def tile_profile(embeddings: DataFrame) -> DataFrame:
     """(page_id, y, hpp): ink cells of each tile row, zeros included, straight from the array."""
     row = lambda y: F.size(F.filter(F.slice("embedding", y * TILE + 1, TILE), lambda v: v > 0))
