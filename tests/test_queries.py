@@ -23,7 +23,7 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["main_direction"])
+@pytest.mark.parametrize("name", ["main_direction", "pca_box"])
 def test_axes_without_covariance_equal_sql(spark, tmp_path, compare, name):
     """Mirrored tiles: their exact covariance is 0, and full ones have no greatest variance."""
     import duckdb

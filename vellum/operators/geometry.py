@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +64,35 @@ def axes(pages: DataFrame, *keys: str) -> DataFrame:
     return _by_page(pages, list(keys), found, "n bigint, angle double")
 
 
-def pca_box(ink: DataFrame, *keys: str, least: int = 10, low: float = 0.01, high: float = 0.99, low_short: float = 0.05, high_short: float = 0.95) -> DataFrame:
-    """The box along the main axis of each point set: centre, direction, and extents between
-    percentiles along it and across it. The axis comes in closed form from the covariances."""
-    stats = ink.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy")
-    ).where(F.col("n") >= least)
-    angle = F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2
-    turned = ink.join(stats.withColumn("angle", angle), list(keys))
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    local = turned.select(*keys, "n", "angle", (dx * F.cos("angle") + dy * F.sin("angle")).alias("s"), (dy * F.cos("angle") - dx * F.sin("angle")).alias("t"))
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return local.groupBy(*keys).agg(F.first("n").alias("n"), F.first("angle").alias("angle"), p("s", low).alias("s0"), p("s", high).alias("s1"), p("t", low_short).alias("t0"), p("t", high_short).alias("t1"))
+def pca_box(pages: DataFrame, *keys: str, least: int = 10, low: float = 0.01, high: float = 0.99, low_short: float = 0.05, high_short: float = 0.95) -> DataFrame:
+    """The box along the main axis of each point set, pages(*keys, cells) as for `axes`: direction,
+    and extents from the centre between percentiles along it and across it. The axis comes in
+    closed form from the covariances."""
+
+    def found(batch):
+        batch = batch.filter(pa.compute.greater_equal(pa.compute.list_value_length(batch["cells"]), max(least, 2)))
+        n, x, y = _places(batch)
+        angles = _axes(n, x, y)
+        page = np.repeat(np.arange(len(n)), n)
+        mean = lambda c: (np.bincount(page, c, len(n)) / n)[page]
+        turn = lambda f: np.array([f(a) for a in angles])[page]
+        dx, dy = x - mean(x), y - mean(y)
+        cos, sin = turn(math.cos), turn(math.sin)
+        start = np.cumsum(n) - n
+
+        def percentiles(c, *shares):
+            c = c[np.lexsort((c, page))]
+            for q in shares:
+                at = q * (n - 1)
+                a, b = np.floor(at), np.ceil(at)
+                first, second = c[start + a.astype(np.int64)], c[start + b.astype(np.int64)]
+                yield np.where(a == b, first, (b - at) * first + (at - a) * second)
+
+        s0, s1 = percentiles(dx * cos + dy * sin, low, high)
+        t0, t1 = percentiles(dy * cos - dx * sin, low_short, high_short)
+        return batch, {"n": n, "angle": pa.array(angles, pa.float64()), "s0": s0, "s1": s1, "t0": t0, "t1": t1}
+
+    return _by_page(pages, list(keys), found, "n bigint, angle double, s0 double, s1 double, t0 double, t1 double")
 
 
 def box_iou(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.numeric import rounded
 from vellum.operators import components, detectors, geometry, hough, metrics, profile, rectify, seams, synthesis
 from vellum.plans.sql import BOX, PAGE_LINE, TILE, WORD, ZREGION
 from vellum.runtime import table
@@ -341,8 +342,8 @@ SELECT page_id, any_value(n) AS n, round(any_value(a), 6) AS angle, round(quanti
     "embeddings",
 )
 def pca_box(vecs):
-    found = geometry.pca_box(ink(vecs), "page_id")
-    return found.select("page_id", "n", F.round("angle", 6).alias("angle"), *[F.round(c, 5).alias(c) for c in ("s0", "s1", "t0", "t1")])
+    found = geometry.pca_box(ink_lists(vecs), "page_id")
+    return found.select("page_id", "n", rounded(F.col("angle"), 6).alias("angle"), *[rounded(F.col(c), 5).alias(c) for c in ("s0", "s1", "t0", "t1")])
 
 
 @query(None, "embeddings")
