@@ -325,6 +325,35 @@ def segmentations(lattice, text):
     return sorted(go(" " + text), reverse=True)
 
 
+def test_pieces_forget_what_exceeds_their_bound(lattice):
+    small = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 7]) for i in range(0, 400, 3)] + [" ".join(words)]
+
+    def rows(of):
+        return [(of.encode(t), of.library(t)) for t in texts]
+
+    want = rows(lattice)
+    assert rows(small) == want and len(small.known) == 400
+    small.keep(50)
+    for _ in range(2):
+        assert max(map(len, (small.known, small.older, small.merges))) <= 50 and len(small.lists) <= 5
+        assert rows(small) == want
+
+
+def test_pipeline_bounds_what_workers_remember(monkeypatch, spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    given, segmented = [], pieces.segmented
+
+    def watched(*args, **options):
+        given.append(options.get("remembered", pieces.REMEMBERED))
+        return segmented(*args, **options)
+
+    monkeypatch.setattr(pieces, "segmented", watched)
+    pipeline.encoding(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert given == [pipeline.REMEMBERED] and pipeline.REMEMBERED <= 100_000
+
+
 @pytest.mark.parametrize("text", ["hello", "a b", "the cat", "\n", "x\ny", "ab  c", "é▁😀", " lead", "end ", "aaaaaa"])
 def test_n_best_is_brute_force(lattice, text):
     got = lattice.encode(text, 5)

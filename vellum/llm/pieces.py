@@ -48,9 +48,10 @@ MARK = "▁"
 #: What a character without a piece costs beyond the worst piece.
 UNKNOWN = 10.0
 TEXT_BYTES = 2 << 20
+#: Units that a worker remembers in each of two generations, and of the library's ids; ranked lists
+#: are a tenth of that at most.
 REMEMBERED = 500_000
 REMEMBERED_CHARS = 40
-REMEMBERED_LISTS = 50_000
 _UNIT = re.compile(" *[^ \n]+| +|\n")
 NOTHING = float("-inf")
 _SCORE, _IDS, _STEP = map(itemgetter, range(3))
@@ -86,6 +87,7 @@ class Lattice:
                 children = children.setdefault(letter, ({}, b"", 0.0))[0]
             children[piece[-1]] = (children.get(piece[-1], ({},))[0], ids, score)
         self.encode_ids = model.encode
+        self.most = REMEMBERED
         #: The library's ids of units.
         self.merges: dict[str, bytes] = {}
         #: Remembered units, in two generations, and their ranked lists.
@@ -93,6 +95,16 @@ class Lattice:
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
+    def keep(self, most: int) -> None:
+        """From now on remember `most` units. What is held beyond that is forgotten: Spark uses a
+        worker again, so it would stay through the stages of all later work."""
+        self.most = most
+        for held in (self.merges, self.known, self.older):
+            if len(held) > most:
+                held.clear()
+        if len(self.lists) > most // 10:
+            self.lists.clear()
+
     def lattice(self, unit: str) -> tuple[list[float], list | None]:
         """The forward pass: the best score of each prefix, and for a short unit the edges into each
         place. Those of a long one aren't kept; they are looked up again where the search comes."""
@@ -174,7 +186,7 @@ class Lattice:
         none crosses units. The line feed before a unit keeps it from putting a space there."""
         units = self.units(text)
         if new := [u for u in dict.fromkeys(units) if u not in self.merges]:
-            if len(self.merges) + len(new) > REMEMBERED:
+            if len(self.merges) + len(new) > self.most:
                 self.merges.clear()
                 new = list(dict.fromkeys(units))
             self.merges.update((u, pack(f"<{len(x) - 2}i", *x[2:])) for u, x in zip(new, self.encode_ids(["\n" + u for u in new], num_threads=1)))
@@ -182,6 +194,8 @@ class Lattice:
         for u in new:
             if len(u) > REMEMBERED_CHARS:
                 del self.merges[u]
+        if len(self.merges) > self.most:  # one text's units
+            self.merges.clear()
         return ids
 
     def units(self, text: str) -> list[str]:
@@ -195,7 +209,7 @@ class Lattice:
             if got is None:
                 found = self.n_best(unit, 2)
                 got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else -NOTHING)
-            if len(self.known) >= REMEMBERED:  # what was met since the last change stays
+            if len(self.known) >= self.most:  # what was met since the last change stays
                 self.known, self.older = {}, self.known
             if len(unit) <= REMEMBERED_CHARS:
                 self.known[unit] = got
@@ -206,7 +220,7 @@ class Lattice:
         if (got := self.lists.get((unit, n))) is None:
             got = self.n_best(unit, n)
             if len(unit) <= REMEMBERED_CHARS:
-                if len(self.lists) >= REMEMBERED_LISTS:
+                if len(self.lists) >= self.most // 10:
                     self.lists.clear()
                 self.lists[unit, n] = got
         return got
@@ -294,9 +308,10 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
     return columns(rows, doc_id=rows[id_col].cast("bigint"), ids=ids_col).mapInArrow(run, "doc_id bigint, text string")
 
 
-def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = False) -> DataFrame:
+def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Per row of docs: n_pieces, the scores of the n best, the digest of the best ids, whether they
-    decode to the text; with keep_ids the best ids themselves and the library's. Encoding and decoding run in one pass, so ids needn't travel."""
+    decode to the text; with keep_ids the best ids themselves and the library's. Encoding and decoding run in one pass, so ids needn't travel.
+    `remembered` bounds a worker's memory for units; it costs time only, no result depends on it."""
     runtime.ship(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_best", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]
     schema = "doc_id bigint, n_pieces bigint, n_best bigint, scores array<double>, ids_sha256 string, round_trip boolean"
@@ -304,6 +319,7 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST, keep_ids: bool = Fals
 
     def run(batches):
         lattice = load(path)
+        lattice.keep(remembered)
         for batch in in_pieces(batches, 1, TEXT_BYTES):
             rows = []
             for id_, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
